@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.exprs import bin_index, col
-from pluvia.functions.frames import centred, centred_mean, trailing
+from pluvia.functions.frames import add_trailing, centred, centred_mean
 from pluvia.functions.quantiles import exact_quantiles, quantile_columns
 from pluvia.spec import (
     COVARIATE_LAGS, COVARIATE_ROLLS, DEFAULT, DRY_LIMIT, TARGET_LAGS, TARGET_ROLLS, SeriesSpec,
@@ -64,27 +64,20 @@ def add_lags(df: DataFrame, spec: SeriesSpec = DEFAULT, **lags) -> DataFrame:
     return df.withColumns(lag_columns(df, spec, **lags))
 
 
-def rolling_columns(
+def add_rolling(
     df: DataFrame,
     spec: SeriesSpec = DEFAULT,
     target_windows: Sequence[int] = TARGET_ROLLS,
     covariate_windows: Mapping[str, Sequence[int]] = COVARIATE_ROLLS,
-) -> dict[str, Column]:
-    w = spec.ordered()
-    out = {}
-    for n in target_windows:
-        out[f"{spec.target}_roll_mean_{n}"] = trailing(spec.target, n, "avg", w)
-        out[f"{spec.target}_roll_std_{n}"] = trailing(spec.target, n, "std", w)
+) -> DataFrame:
+    """Backward rolling mean and sample std over full frames, day t included."""
+    y = spec.target
+    means = {f"{y}_roll_mean_{n}": (y, n) for n in target_windows}
+    stds = {f"{y}_roll_std_{n}": (y, n) for n in target_windows}
     for c, windows in covariate_windows.items():
         if c in df.columns:
-            for n in windows:
-                out[f"{c}_roll_mean_{n}"] = trailing(c, n, "avg", w)
-    return out
-
-
-def add_rolling(df: DataFrame, spec: SeriesSpec = DEFAULT, **windows) -> DataFrame:
-    """Backward rolling mean and sample std over full frames, day t included."""
-    return df.withColumns(rolling_columns(df, spec, **windows))
+            means |= {f"{c}_roll_mean_{n}": (c, n) for n in windows}
+    return add_trailing(df, means, stds, spec.ordered())
 
 
 def add_centred(
@@ -220,10 +213,12 @@ def feature_table(
 
     Input: ``add_calendar`` + ``split_by_position`` output. Warm-up rows stay.
     """
-    windows = {**lag_columns(df, spec), **rolling_columns(df, spec)}
+    # Rolling steps first: they pass over the rows several times, so the rows
+    # should still be narrow; the wide lag columns come last.
     out = (
-        df.withColumns(windows)
+        df.transform(add_rolling, spec)
         .transform(add_dry_spell_length, spec, causal_dry_spell)
+        .transform(add_lags, spec)
         .transform(add_calendar_features, spec)
         .transform(add_cyclical, spec)
         .transform(add_season_code)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pluvia.plans import oracle_panel, queries_panel
+from pluvia.plans import oracle_panel, oracle_profile, queries_panel, queries_profile
 
 
 def registered() -> dict:
-    return {**queries_panel.Q}
+    return {**queries_panel.Q, **queries_profile.Q}
 
 
 def expected_sql() -> dict[str, str]:
-    return {**oracle_panel.S}
+    return {**oracle_panel.S, **oracle_profile.S}
