@@ -10,10 +10,10 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.functions.exprs import category, col, is_monsoon, season
+from pluvia.functions.exprs import category, is_monsoon, season
 from pluvia.functions.special import gamma_quantile, gamma_shape, normal_quantile
 from pluvia.spec import CATEGORIES, DEFAULT, DRY_LIMIT, EXTREME_LIMIT, HEAVY_LIMIT, SeriesSpec
 
@@ -129,7 +129,7 @@ def log_histogram(df: DataFrame, n_bins: int = 60, spec: SeriesSpec = DEFAULT) -
         F.floor((e["x"] - F.col("lo")) / (F.col("hi") - F.col("lo")) * n_bins), F.lit(n_bins - 1))
     binned = shaped.select(
         spec.series, "n", "lo", "mu", "sigma", "width",
-        F.transform("values", lambda e: F.struct(place(e).alias("b"), e["c"].alias("c"))).alias("v"),
+        F.transform("values", lambda e: F.named_struct(F.lit("b"), place(e), F.lit("c"), e["c"])).alias("v"),
         F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"),
     )
     n_in = F.aggregate(
@@ -155,7 +155,7 @@ def wet_density(df: DataFrame, n_grid: int = 400, spec: SeriesSpec = DEFAULT) ->
     per_series = counted.groupBy(spec.series).agg(
         F.sum("c").alias("n"),
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.percentile("v", 0.995, "c").alias("top"),
+        F.percentile("v", 0.995, F.col("c")).alias("top"),
         F.collect_list(F.struct("v", "c")).alias("values"),
     )
     var = F.aggregate(
@@ -179,7 +179,7 @@ def box_stats(df: DataFrame, group: Column, name: str, spec: SeriesSpec = DEFAUL
     counted = df.where(y.isNotNull()).groupBy(spec.series, group.alias(name), y.alias("v")).agg(
         F.count("*").alias("c"))
     boxes = counted.groupBy(spec.series, name).agg(
-        F.percentile("v", [0.25, 0.5, 0.75], "c").alias("q"),
+        F.percentile("v", [0.25, 0.5, 0.75], F.col("c")).alias("q"),
         F.collect_list(F.struct("v", "c")).alias("values"),
     ).select(spec.series, name, "values", F.get("q", F.lit(0)).alias("q1"),
              F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pluvia.plans import oracle_panel, oracle_profile, queries_panel, queries_profile
+from pluvia.plans import (
+    oracle_forecast, oracle_panel, oracle_profile, oracle_uncertainty,
+    queries_forecast, queries_panel, queries_profile, queries_uncertainty,
+)
+
+_QUERIES = (queries_panel, queries_profile, queries_forecast, queries_uncertainty)
+_ORACLES = (oracle_panel, oracle_profile, oracle_forecast, oracle_uncertainty)
 
 
 def registered() -> dict:
-    return {**queries_panel.Q, **queries_profile.Q}
+    return {name: plan for module in _QUERIES for name, plan in module.Q.items()}
 
 
 def expected_sql() -> dict[str, str]:
-    return {**oracle_panel.S, **oracle_profile.S}
+    return {name: sql for module in _ORACLES for name, sql in module.S.items()}
