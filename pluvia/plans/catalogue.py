@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pluvia.plans import (
-    oracle_forecast, oracle_panel, oracle_profile, oracle_uncertainty,
-    queries_forecast, queries_panel, queries_profile, queries_uncertainty,
+    oracle_forecast, oracle_panel, oracle_profile, oracle_structure, oracle_uncertainty,
+    queries_forecast, queries_panel, queries_profile, queries_structure, queries_uncertainty,
 )
 
-_QUERIES = (queries_panel, queries_profile, queries_forecast, queries_uncertainty)
-_ORACLES = (oracle_panel, oracle_profile, oracle_forecast, oracle_uncertainty)
+_QUERIES = (queries_panel, queries_profile, queries_forecast, queries_structure, queries_uncertainty)
+_ORACLES = (oracle_panel, oracle_profile, oracle_forecast, oracle_structure, oracle_uncertainty)
 
 
 def registered() -> dict:
