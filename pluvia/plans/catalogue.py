@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pluvia.plans import (
-    oracle_forecast, oracle_panel, oracle_profile, oracle_structure, oracle_uncertainty,
-    queries_forecast, queries_panel, queries_profile, queries_structure, queries_uncertainty,
+    oracle_forecast, oracle_models, oracle_panel, oracle_profile, oracle_structure, oracle_uncertainty,
+    queries_forecast, queries_models, queries_panel, queries_profile, queries_structure, queries_uncertainty,
 )
 
-_QUERIES = (queries_panel, queries_profile, queries_forecast, queries_structure, queries_uncertainty)
-_ORACLES = (oracle_panel, oracle_profile, oracle_forecast, oracle_structure, oracle_uncertainty)
+_QUERIES = (queries_panel, queries_profile, queries_forecast, queries_structure, queries_uncertainty, queries_models)
+_ORACLES = (oracle_panel, oracle_profile, oracle_forecast, oracle_structure, oracle_uncertainty, oracle_models)
 
 
 def registered() -> dict:
