@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.functions.exprs import season
+from pluvia.functions.exprs import melt, season
 from pluvia.session import small
 from pluvia.spec import DEFAULT, MAX_CALENDAR_DAYS, SeriesSpec
 
@@ -119,17 +119,8 @@ def split_summary(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """min / max / mean / sample std / missing, one row per column."""
-    stats = {
-        "min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp,
-        "missing": lambda c: F.count_if(F.col(c).isNull()).cast("double"),
-    }
-    wide = df.agg(*[f(c).alias(f"{c}__{name}") for c in columns for name, f in stats.items()])
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            *[F.col(f"{c}__{n}").cast("double").alias(n) for n in stats],
-        )
-        for c in columns
-    ])
-    return wide.select(F.inline(rows))
+    """min / max / mean / sample std / missing, one row per column, in one pass."""
+    return melt(df, [], columns, "column_name", "x").groupBy("column_name").agg(
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"),
+        F.count_if(F.col("x").isNull()).cast("double").alias("missing"))

@@ -38,9 +38,10 @@ def model_predictor(model) -> Predictor:
 def linear_predictor(intercept: Column, coefficients: Column) -> Predictor:
     """intercept + coefficients . x, all in the row."""
     def predict(df: DataFrame) -> DataFrame:
+        held = df.withColumns({"_b0": intercept, "_beta": coefficients})
         dot = F.aggregate(
-            F.zip_with("x", coefficients, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        return df.withColumn("prediction", intercept + dot)
+            F.zip_with("x", "_beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return held.withColumn("prediction", F.col("_b0") + dot).drop("_b0", "_beta")
 
     return predict
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.functions.exprs import bin_index, col
+from pluvia.functions.exprs import bin_index, col, melt
 from pluvia.functions.frames import add_trailing, centred, centred_mean
 from pluvia.functions.quantiles import exact_quantiles, quantile_columns
 from pluvia.spec import (
@@ -234,19 +234,10 @@ def scaler_parameters(
     df: DataFrame, features: Sequence[str], spec: SeriesSpec = DEFAULT
 ) -> DataFrame:
     """Mean and population std of the train rows, one row per scaled feature."""
-    scaled = scalable(features)
-    wide = df.where(F.col("split") == "train").agg(
-        *[F.avg(c).alias(f"{c}__mean") for c in scaled],
-        *[F.stddev_pop(c).alias(f"{c}__std") for c in scaled],
-    )
-    return wide.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.col(f"{c}__mean").alias("mean"),
-            F.when(F.col(f"{c}__std") == 0, 1.0).otherwise(F.col(f"{c}__std")).alias("std"),
-        )
-        for c in scaled
-    ])))
+    long = melt(df.where(F.col("split") == "train"), [], scalable(features), "feature", "x")
+    std = F.stddev_pop("x")
+    return long.groupBy("feature").agg(
+        F.avg("x").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
 
 
 def scalable(features: Sequence[str]) -> list[str]:
@@ -298,18 +289,15 @@ def feature_category(name: Column) -> Column:
 
 
 def feature_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Category, non-null count, mean, std, min and max per feature, one pass."""
-    stats = {"non_null": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(*[f(c).alias(f"{c}__{n}") for c in features for n, f in stats.items()])
-    rows = wide.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"),
-            *[F.col(f"{c}__{n}").cast("bigint" if n == "non_null" else "double").alias(n)
-              for n in stats],
-        )
-        for c in features
-    ])))
-    return rows.withColumn("category", feature_category(F.col("feature")))
+    """Category, non-null count, mean, std, min and max per feature, one pass.
+
+    The columns become (feature, value) rows inside each task: five buffers per
+    feature stay in generated code, hundreds of wide aggregates would not.
+    """
+    stats = melt(df, [], features, "feature", "x").groupBy("feature").agg(
+        F.count("x").alias("non_null"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    return stats.withColumn("category", feature_category(F.col("feature")))
 
 
 def feature_summary(

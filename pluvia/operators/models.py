@@ -84,9 +84,9 @@ class TwoStage:
 def _classifier(trees: int, depth: int, rate: float, min_rows: int) -> GBTClassifier:
     return GBTClassifier(
         labelCol="rain_occurrence", featuresCol="x", weightCol="weight", predictionCol="rain_flag",
-        probabilityCol="rain_prob", rawPredictionCol="rain_raw", maxIter=trees, maxDepth=depth,
-        stepSize=rate, minInstancesPerNode=min_rows, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-        validationIndicatorCol="is_val", validationTol=STOP_TOLERANCE, seed=SEED)
+        maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_rows, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        validationIndicatorCol="is_val", validationTol=STOP_TOLERANCE, seed=SEED,
+    ).setProbabilityCol("rain_prob").setRawPredictionCol("rain_raw")
 
 
 def _regressor(trees: int, depth: int, rate: float, min_rows: int) -> GBTRegressor:

@@ -6,6 +6,7 @@ prediction covers all rows of its split.
 
 from __future__ import annotations
 
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +42,18 @@ def inputs(spark: SparkSession, folder: str) -> DataFrame:
     return mo.fitted_rows(ft.model_inputs(features(spark, folder), ML_FEATURES).dropna(), "inputs")
 
 
+def narrow(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Some columns of the feature table, written once: several aggregates read them."""
+    df = features(spark, folder)
+    keep = list(dict.fromkeys([*DEFAULT.key, "split", *ft.TARGETS, *columns]))
+    return mo.fitted_rows(df.select(*keep), "narrow-features")
+
+
 # --- selection
 
-def score_tables(spark, folder):
+def score_tables(df):
     """Names, gain and attribution tables from plain correlations: inputs for the set rules."""
-    rows = se.analysis_rows(features(spark, folder), SCORED)
+    rows = se.analysis_rows(df, SCORED)
     scored = co.target_correlation(rows.withColumn("rainfall", F.expm1("log_rainfall")), SCORED)
     names = scored.select("feature")
     gain = se.rank_gain(scored.where(F.col("r_log") > 0).select("feature", F.abs("r").alias("gain")))
@@ -69,7 +77,7 @@ def j2(spark, folder):
 
 
 def j5(spark, folder):
-    rows, names, gain, _ = score_tables(spark, folder)
+    rows, names, gain, _ = score_tables(narrow(spark, folder, SCORED))
     vif = co.variance_inflation(rows, ["soil_wet_surf", "soil_wet_root", "tavg"]).withColumn(
         "severity", F.when(F.col("vif") > 3, "Severe").otherwise("Low"))
     close = co.correlation_pairs(rows, SCORED).where(F.abs("r") > CORR_LIMIT)
@@ -77,13 +85,13 @@ def j5(spark, folder):
 
 
 def j6(spark, folder):
-    _, names, gain, attribution = score_tables(spark, folder)
+    _, names, gain, attribution = score_tables(narrow(spark, folder, SCORED))
     return se.ml_set(names, attribution, gain, top=6, min_gain=MIN_GAIN)
 
 
 def d17_summary(spark, folder):
-    df = features(spark, folder)
-    rows, names, gain, attribution = score_tables(spark, folder)
+    df = narrow(spark, folder, SCORED)
+    rows, names, gain, attribution = score_tables(df)
     vif = co.variance_inflation(rows, SCORED)
     linear = [r.feature for r in se.linear_set(names, vif, names.limit(0), gain, MIN_GAIN).collect()]
     ml = [r.feature for r in se.ml_set(names, attribution, gain, 6, MIN_GAIN).collect()]
@@ -91,7 +99,7 @@ def d17_summary(spark, folder):
 
 
 def d18(spark, folder):
-    _, _, gain, attribution = score_tables(spark, folder)
+    _, _, gain, attribution = score_tables(narrow(spark, folder, SCORED))
     return ft.merge_importance(attribution, gain)
 
 
@@ -122,8 +130,7 @@ def k4(spark, folder):
 
 
 def k5(spark, folder):
-    df = ft.drop_warmup(features(spark, folder))
-    return mo.fit_seasonal_linear(df)[0].where(F.col("split") != "train")
+    return mo.fit_seasonal_linear(features(spark, folder))[0].where(F.col("split") != "train")
 
 
 def k5_orders(spark, folder):
@@ -151,25 +158,24 @@ def o1_bootstrap(spark, folder):
 
 # --- explanations
 
-def wet_rows(spark, folder, split):
-    df = features(spark, folder).where((F.col("split") == split) & (F.col("rain_occurrence") == 1))
-    return df.select(*DEFAULT.key, "rainfall", "log_rainfall", *EXPLAINED)
+def wet_rows(df: DataFrame, split: str) -> DataFrame:
+    wet = df.where((F.col("split") == split) & (F.col("rain_occurrence") == 1))
+    return wet.select(*DEFAULT.key, "rainfall", "log_rainfall", *EXPLAINED).dropna()
 
 
 def wet_model(spark, folder):
-    from pyspark.ml.regression import GBTRegressor
-
-    train = mo.fitted_rows(wet_rows(spark, folder, "train").dropna(), "wet-train")
+    df = narrow(spark, folder, EXPLAINED)
+    train = wet_rows(df, "train")
     model = GBTRegressor(
         labelCol="log_rainfall", featuresCol="x", maxIter=SMALL["trees"], maxDepth=SMALL["depth"],
         stepSize=SMALL["rate"], seed=mo.SEED,
     ).fit(mo.assemble(train, EXPLAINED).select("x", "log_rainfall"))
-    return model, train, mo.fitted_rows(wet_rows(spark, folder, "test").dropna(), "wet-test")
+    return model, train, wet_rows(df, "test")
 
 
-def linear_parameters(spark, folder) -> tuple[Column, Column]:
+def linear_parameters(df: DataFrame) -> tuple[Column, Column]:
     """Univariate slopes and means on the train rows, and the mean log target."""
-    train = features(spark, folder).where(F.col("split") == "train")
+    train = df.where(F.col("split") == "train")
     moments = co.comoments(train, [*EXPLAINED, "log_rainfall"]).where(
         (F.col("b") == "log_rainfall") & (F.col("a") != "log_rainfall"))
     entry = F.struct("a", F.struct((F.col("cab") / F.col("caa")).alias("beta"), F.col("mean_a").alias("mean")))
@@ -178,8 +184,8 @@ def linear_parameters(spark, folder) -> tuple[Column, Column]:
 
 
 def linear_phi(spark, folder):
-    parameters, _ = linear_parameters(spark, folder)
-    return ex.linear_attributions(wet_rows(spark, folder, "test").dropna(), EXPLAINED, parameters)
+    df = narrow(spark, folder, EXPLAINED)
+    return ex.linear_attributions(wet_rows(df, "test"), EXPLAINED, linear_parameters(df)[0])
 
 
 def n1(spark, folder):
@@ -197,18 +203,18 @@ def n5_trend(spark, folder):
 
 
 def n6(spark, folder):
-    parameters, base = linear_parameters(spark, folder)
-    phi = ex.linear_attributions(wet_rows(spark, folder, "test").dropna(), EXPLAINED, parameters)
-    return ex.local_cases(phi, base, n_show=4)
+    df = narrow(spark, folder, EXPLAINED)
+    parameters, base = linear_parameters(df)
+    return ex.local_cases(ex.linear_attributions(wet_rows(df, "test"), EXPLAINED, parameters), base, n_show=4)
 
 
 def n7_linear(spark, folder):
-    parameters, base = linear_parameters(spark, folder)
-    rows = wet_rows(spark, folder, "test").dropna()
+    df = narrow(spark, folder, EXPLAINED)
+    parameters, base = linear_parameters(df)
     beta = F.array(*[parameters[c]["beta"] for c in EXPLAINED])
     offset = sum((parameters[c]["beta"] * parameters[c]["mean"] for c in EXPLAINED), F.lit(0.0))
     predict = ex.linear_predictor(base - offset, beta)
-    return ex.partial_dependence(rows, EXPLAINED, EXPLAINED, predict)
+    return ex.partial_dependence(wet_rows(df, "test"), EXPLAINED, EXPLAINED, predict)
 
 
 def n7(spark, folder):
