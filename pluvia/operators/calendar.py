@@ -64,7 +64,7 @@ def attach_covariates(
     """Join covariates by day, or by series and day if they carry the series."""
     keys = [k for k in spec.key if k in covariates.columns]
     if keys == [spec.date]:
-        covariates = small(covariates, MAX_CALENDAR_DAYS // 10)
+        covariates = small(covariates, MAX_CALENDAR_DAYS)
     return panel.join(covariates, keys, "left")
 
 

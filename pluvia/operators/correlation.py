@@ -62,24 +62,23 @@ def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     schema = "i int, j int, n bigint, ma double, mb double, caa double, cbb double, cab double"
     parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(fold, schema)
     n, ma, mb = F.col("n"), F.col("ma"), F.col("mb")
-    merged = parts.where(n > 0).groupBy("i", "j").agg(
-        F.sum("n").alias("n"),
-        (F.sum(n * ma) / F.sum("n")).alias("mean_a"), (F.sum(n * mb) / F.sum("n")).alias("mean_b"),
-        # Moments within the tasks plus the spread of the task means.
-        (F.sum("caa") + _between(n, ma, ma)).alias("caa"),
-        (F.sum("cbb") + _between(n, mb, mb)).alias("cbb"),
-        (F.sum("cab") + _between(n, ma, mb)).alias("cab"))
+    pair = Window.partitionBy("i", "j")  # one row per task
+    total = F.sum(n).over(pair)
+    placed = parts.where(n > 0).withColumns({
+        "mean_a": F.sum(n * ma).over(pair) / total, "mean_b": F.sum(n * mb).over(pair) / total})
+    da, db = ma - F.col("mean_a"), mb - F.col("mean_b")
+    # Moments within the tasks plus the spread of the task means around the common one.
+    merged = placed.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.first("mean_a").alias("mean_a"), F.first("mean_b").alias("mean_b"),
+        F.sum(F.col("caa") + n * da * da).alias("caa"),
+        F.sum(F.col("cbb") + n * db * db).alias("cbb"),
+        F.sum(F.col("cab") + n * da * db).alias("cab"))
     label = F.array(*[F.lit(c) for c in names])
     return merged.select(
         F.get(label, F.col("i")).alias("a"), F.get(label, F.col("j")).alias("b"),
         "n", "mean_a", "mean_b", "caa", "cbb", "cab")
 
 
-def _between(n, u, v):
-    """sum n (u - mean u)(v - mean v) over the tasks."""
-    return F.sum(n * u * v) - F.sum(n * u) * F.sum(n * v) / F.sum(n)
-
-
 def pearson():
     """r from a comoment row; NULL for a constant column."""
     spread = F.sqrt(F.col("caa")) * F.sqrt(F.col("cbb"))

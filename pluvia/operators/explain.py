@@ -62,14 +62,14 @@ def shapley_values(
     predict = model_predictor(model)
     bg = background.orderBy(F.xxhash64(*spec.key, F.lit(SEED)), *spec.key).limit(n_background)
     pool = bg.agg(F.collect_list(feature_array(features)).alias("pool")).scalar()
-    base = rows.select(*spec.key, feature_array(features).alias("target_x")).withColumn("pool", pool)
+    base = rows.select(*spec.key, feature_array(features).alias("target_x"))
     walks = base.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    draw = F.pmod(F.xxhash64(*spec.key, "m", F.lit("z")), F.size("pool").cast("bigint")).cast("int")
+    draw = F.pmod(F.xxhash64(*spec.key, "m", F.lit("z")), F.size(pool).cast("bigint")).cast("int")
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(p - 1)),
         lambda i: F.struct(F.xxhash64(*spec.key, F.col("m"), i).alias("h"), i.alias("i"))))
     walks = walks.select(
-        *spec.key, "target_x", F.get("pool", draw).alias("z"),
+        *spec.key, "target_x", F.get(pool, draw).alias("z"),
         F.transform(order, lambda e: e["i"]).alias("order"))
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     mixed = F.transform("target_x", lambda v, i: F.when(

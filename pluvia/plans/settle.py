@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 6
@@ -14,10 +14,17 @@ def settle(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = _rounded(c.cast("double"), 10.0 ** digits)
         elif kind in ("int", "smallint", "tinyint", "bigint", "boolean"):
             c = c.cast("bigint")
         elif kind.startswith(("date", "timestamp")):
             c = c.cast("string")
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def _rounded(c: Column, scale: float) -> Column:
+    """Half away from zero in plain double arithmetic; ``round`` would go through
+    a decimal per value, which costs more than most of the queries."""
+    near = F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)
+    return F.when(F.abs(c) < 1e12, near).otherwise(c)

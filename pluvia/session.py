@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 256 * 1024 * 1024
+BROADCAST_BYTES = 512 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
