@@ -149,7 +149,7 @@ _DISTANCE = {"days_from_monsoon_onset": "dayofyear(date) - 152",
 _PHYSICAL = {
     "soil_moisture_gradient": "soil_wet_surf - soil_wet_root",
     "dewpoint_approx": "tmin - (100 - rh)/5", "temp_range": "tmax - tmin",
-    "pressure_rh_interaction": "pressure * rh / 100",
+    "pressure_rh_interaction": "pressure * (rh / 100)",
 }
 _OCCURRENCE = {"rain_occurrence": "CASE WHEN rainfall > 0.1 THEN 1 ELSE 0 END"}
 _TARGETS = {"monsoon_flag": "is_monsoon", "log_rainfall": "ln(1 + rainfall)",

@@ -70,6 +70,7 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("prefixes", nargs="*")
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
+    parser.add_argument("--sql-only", action="store_true")
     args = parser.parse_args()
     spark, con = session(), duck(args.sf)
     queries, sql = entry.queries(), entry.oracle_sql()
@@ -77,6 +78,8 @@ def main() -> int:
     for name, plan in queries.items():
         if args.prefixes and not any(name.startswith(p) for p in args.prefixes):
             continue
+        if args.sql_only and name not in sql:
+            continue
         start = time.time()
         try:
             got = plan(spark, args.sf).toPandas()
