@@ -12,6 +12,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from pluvia.session import RECOMMENDED  # noqa: E402
+
 HEADLINE = [
     "c3_densify", "d1_lag_features", "d2_rolling_features", "d10_dry_spell_length", "d13_feature_table",
     "d17_feature_statistics", "e2_distribution_stats", "f1_monthly_climatology", "f6_dry_spells",
@@ -23,18 +25,16 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("pluvia-bench")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        # Windows cost far more than the bytes of their shuffle suggest.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in RECOMMENDED.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     from pluvia.plans.catalogue import registered
 
