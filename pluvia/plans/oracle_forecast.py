@@ -132,7 +132,7 @@ S["l10_residual_histogram"] = q(
     """SELECT model, bin, count(*) AS n, max(lo + (hi-lo)/50*bin) AS left_edge FROM (
          SELECT model, lo, hi, least(floor((e-lo)/(hi-lo)*50), 49) AS bin FROM (
            SELECT model, e, min(e) OVER (PARTITION BY model) AS lo, max(e) OVER (PARTITION BY model) AS hi
-           FROM scored WHERE split = 'test' AND model = 'persistence')) GROUP BY 1, 2""", "scored")
+           FROM scored WHERE split = 'test')) GROUP BY 1, 2""", "scored")
 S["l11_taylor_statistics"] = q(
     "model:s r:f sigma_ratio:f theta:f",
     """SELECT model, corr(actual, predicted) AS r, stddev_pop(predicted)/stddev_pop(actual) AS sigma_ratio,

@@ -95,7 +95,7 @@ Q = {
     "l8_verdicts": on_table(ev.verdicts),
     "l9_regime_metrics": on(ev.regime_metrics),
     "l10_residual_stats": on(ev.residual_stats),
-    "l10_residual_histogram": on(lambda df: ev.residual_histogram(df.where(F.col("model") == "persistence"))),
+    "l10_residual_histogram": on(ev.residual_histogram),
     "l11_taylor_statistics": on(ev.taylor_statistics),
     "l12_largest_miss": on(ev.largest_miss),
     "l12_rain_hit_rate": on(ev.rain_hit_rate),
