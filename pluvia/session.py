@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,16 @@ RECOMMENDED = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh one only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a session inside one process (``local[n]``, as in tests) gets a
+    fresh folder; on a cluster that would be a disk of its own for each machine, so it
+    is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pluvia-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
