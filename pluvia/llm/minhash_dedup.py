@@ -227,8 +227,9 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component: that of its least id.
 
     Repeated rows of that id are one row after it; a document without shingles stays, and
-    so does one row of each set that occurs only without id.
+    so does every row without id.
     """
     found = near_duplicates(docs, k, percent)
-    keep = materialise(found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["kept_id"])).drop("kept_id").dropDuplicates(["doc_id", "text"])
+    keep = materialise(found.where("doc_id is not null and kept").select("doc_id").distinct(), "kept-ids")
+    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))

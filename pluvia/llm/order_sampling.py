@@ -19,8 +19,7 @@ a third of all rows costs 256 sums, like any other.
 
 Nulls and other cases: null text has 0 words and is taken 0 times; a null source is a
 source of its own, the last; null ids are hashed with the text; repeated rows share one
-draw and one rank and are told apart by running numbers within the last range; a source without
-words has target 0; an empty table gives no rows. Other columns are kept out.
+draw and one rank and are taken or left together; a source without words has target 0; an empty table gives no rows. Other columns are kept out.
 """
 
 from __future__ import annotations
@@ -100,50 +99,65 @@ def _drawn(seed: int) -> Column:
 
 def _range(level: int) -> Column:
     """Which of 256 parts of the order the document falls into, at one of the levels."""
-    return F.expr(f"shiftrightunsigned(place, {8 * (LEVELS - 1 - level)}) & {FAN - 1}")
+    return F.expr(f"shiftrightunsigned(_mix_place, {8 * (LEVELS - 1 - level)}) & {FAN - 1}")
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, seed: int = 17,
-        value: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document.
+def _described(docs: DataFrame, seed: int, value: Column | None) -> DataFrame:
+    """``docs`` with the columns _mix_source, _mix_drawn, _mix_size and _mix_value."""
+    sized = docs.withColumns({"_mix_source": F.col("source").cast("string"), "_mix_drawn": _drawn(seed),
+                              "_mix_size": word_count(F.col("text"))})
+    return sized.withColumn("_mix_value", (value if value is not None else length_class(F.col("_mix_size"))).cast("long"))
 
-    ``copies`` is how often the mix takes the document, ``taken`` the words of that.
-    ``value`` is a positive integer expression over ``text_size``; by default
-    ``length_class``.
+
+def _placed(described: DataFrame, due: DataFrame) -> DataFrame:
+    """Adds _mix_whole, _mix_odds and _mix_place: certain copies, and the place in the order for one more."""
+    own = due.select(*(F.col(c).alias(f"_due_{c}") for c in ("source", "value", "whole", "part")))
+    u = (F.col("_mix_drawn") + 0.5) / float(2**DRAWN_BITS)
+    odds = (u / (1 - u)) * ((1 - F.col("_due_part")) / F.col("_due_part"))
+    return (
+        described.join(own, F.col("_mix_source").eqNullSafe(F.col("_due_source")) & (F.col("_mix_value") == F.col("_due_value")), "left")
+        .withColumn("_mix_whole", F.when(F.col("_mix_size") > 0, F.coalesce("_due_whole", F.lit(0))).otherwise(F.lit(0)))
+        .withColumn("_mix_odds", F.when((F.col("_due_part") > 0) & (F.col("_mix_size") > 0), odds))
+        # 24 bits of odds / (1 + odds), which keeps the order of the odds
+        .withColumn("_mix_place", F.when(F.col("_mix_odds").isNotNull(), F.least(
+            F.floor(F.col("_mix_odds") / (1 + F.col("_mix_odds")) * FAN**LEVELS), F.lit(FAN**LEVELS - 1)).cast("int")))
+        .drop("_due_source", "_due_value", "_due_whole", "_due_part"))
+
+
+def _taken(placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds _mix_copies: the certain copies, and one more up to the source's cut."""
+    own = cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "place", "last")))
+    key = F.struct(F.col("_mix_odds").alias("odds"), F.col("_mix_drawn").alias("drawn"), F.col("doc_id").cast("long").alias("doc_id"))
+    more = (F.col("_mix_place") < F.col("_cut_place")) | (
+        (F.col("_mix_place") == F.col("_cut_place")) & F.col("_cut_last").isNotNull() & (key <= F.col("_cut_last")))
+    return placed.join(own, F.col("_mix_source").eqNullSafe(F.col("_cut_source")), "left").withColumn(
+        "_mix_copies", (F.col("_mix_whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")).drop(
+        "_cut_source", "_cut_place", "_cut_last")
+
+
+def plan(rows: DataFrame, weights: list[int], share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(targets, due, cuts) of described rows: written tables with a few rows a source.
+
+    ``cuts`` has the place in the order where a source's sample ends and, in that place,
+    the last document taken.
     """
-    size = F.col("text_size")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                       _drawn(seed).alias("drawn"), word_count(F.col("text")).alias("text_size"))
-    rows = materialise(rows.withColumn("value", value if value is not None else length_class(size)), "mix-rows")
-    classes = materialise(rows.groupBy("source", "value").agg(
-        F.sum("text_size").alias("words"), F.count(F.lit(1)).alias("docs")), "mix-classes")
+    classes = materialise(rows.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_value").alias("value")).agg(
+        F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("docs")), "mix-classes")
     targets = materialise(source_targets(
         classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "mix-targets")
     due = materialise(copies_due(classes, targets, most), "mix-due")
-
-    u = (F.col("drawn") + 0.5) / float(2**DRAWN_BITS)
-    odds = (u / (1 - u)) * ((1 - F.col("part")) / F.col("part"))
-    placed = (
-        rows.join(due.withColumnsRenamed({"source": "due_source", "value": "due_value"}),
-                  F.col("source").eqNullSafe(F.col("due_source")) & (F.col("value") == F.col("due_value")), "left")
-        .drop("due_source", "due_value")
-        .withColumn("odds", F.when((F.col("part") > 0) & (size > 0), odds))
-        # 24 bits of odds / (1 + odds), which keeps the order of the odds
-        .withColumn("place", F.when(F.col("odds").isNotNull(), F.least(
-            F.floor(F.col("odds") / (1 + F.col("odds")) * FAN**LEVELS), F.lit(FAN**LEVELS - 1)).cast("int"))))
-    placed = materialise(placed, "mix-placed")
+    placed = materialise(_placed(rows.select("doc_id", "_mix_source", "_mix_drawn", "_mix_size", "_mix_value"), due), "mix-placed")
     left = materialise(
-        placed.groupBy("source").agg(F.sum(F.col("whole") * size).alias("certain"))
-        .join(targets.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
+        placed.groupBy("_mix_source").agg(F.sum(F.col("_mix_whole") * F.col("_mix_size")).alias("certain"))
+        .join(targets, F.col("_mix_source").eqNullSafe(F.col("source")))
         .select("source", (F.col("target") - F.col("certain")).alias("room")), "mix-room")
 
     end = left.withColumn("prefix", F.lit(0))  # the range in which the sample ends, so far
-    opened = placed.where("place is not null")
+    opened = placed.where("_mix_place is not null")
     for level in range(LEVELS):
-        own = end.withColumnsRenamed({"source": "end_source"})
-        inside = opened.join(own, F.col("source").eqNullSafe(F.col("end_source")) & (
-            F.expr(f"shiftrightunsigned(place, {8 * (LEVELS - level)})") == F.col("prefix")))
-        sums = inside.groupBy("source", "room", "prefix", _range(level).alias("part_of")).agg(F.sum("text_size").alias("words"))
+        inside = opened.join(end, F.col("_mix_source").eqNullSafe(F.col("source")) & (
+            F.expr(f"shiftrightunsigned(_mix_place, {8 * (LEVELS - level)})") == F.col("prefix")))
+        sums = inside.groupBy("source", "room", "prefix", _range(level).alias("part_of")).agg(F.sum("_mix_size").alias("words"))
         upto = Window.partitionBy("source").orderBy("part_of").rowsBetween(Window.unboundedPreceding, 0)
         run = sums.withColumn("upto", F.sum("words").over(upto))
         # the last range that starts within the room: all ranges before it are taken whole
@@ -153,18 +167,39 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2,
             "source", (F.col("room") - F.col("hit.before")).alias("room"),
             (F.col("prefix") * FAN + F.col("hit.part_of")).cast("int").alias("prefix")), "mix-end")
 
-    last = end.select(F.col("source").alias("end_source"), F.col("room").alias("last_room"), F.col("prefix").alias("last_place"))
-    marked = placed.join(last, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    at_end = F.col("place") == F.col("last_place")
     # one 16.7 millionth of a source: the only rows that are put in order one by one
-    order = Window.partitionBy("source").orderBy("odds", "drawn", "doc_id")
-    tie = marked.where(at_end).withColumn("upto", F.sum("text_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    tie = tie.withColumn("extra", (F.col("upto") - F.col("text_size") / 2 <= F.col("last_room")).cast("int")).drop("upto")
-    rest = marked.where(~F.coalesce(at_end, F.lit(False))).withColumn(
-        "extra", F.coalesce(F.col("place") < F.col("last_place"), F.lit(False)).cast("int"))
-    both = rest.unionByName(tie)
-    copies = F.when(size > 0, F.coalesce(F.col("whole"), F.lit(0)) + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return (both.withColumn("copies", copies)
-            .join(targets.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")), "left")
-            .select("doc_id", "source", size.alias("size"), "source_size", "target", "copies",
-                    (F.col("copies") * size).alias("taken")))
+    last = opened.join(end, F.col("_mix_source").eqNullSafe(F.col("source")) & (F.col("_mix_place") == F.col("prefix"))).select(
+        "source", "room", F.col("_mix_size").alias("size"),
+        F.struct(F.col("_mix_odds").alias("odds"), F.col("_mix_drawn").alias("drawn"), F.col("doc_id").cast("long").alias("doc_id")).alias("key"))
+    equal = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = last.withColumn("upto", F.sum("size").over(equal)).where(F.col("upto") - F.col("size") / 2 <= F.col("room"))
+    ends = near.groupBy(F.col("source").alias("end_source")).agg(F.max("key").alias("last"))
+    cuts = materialise(
+        end.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").select("source", F.col("prefix").alias("place"), "last"),
+        "mix-cuts")
+    return targets, due, cuts
+
+
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, seed: int = 17,
+        value: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every document.
+
+    ``copies`` is how often the mix takes the document, ``taken`` the words of that.
+    ``value`` is a positive integer expression over ``_mix_size``, the words of the
+    document; by default ``length_class``.
+    """
+    rows = materialise(_described(docs.select("doc_id", "source", "text"), seed, value).drop("text", "source"), "mix-rows")
+    targets, due, cuts = plan(rows, weights, share, most)
+    taken = _taken(_placed(rows, due), cuts)
+    return taken.join(targets, F.col("_mix_source").eqNullSafe(F.col("source")), "left").select(
+        "doc_id", F.col("_mix_source").alias("source"), F.col("_mix_size").alias("size"), "source_size", "target",
+        F.col("_mix_copies").alias("copies"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, seed: int = 17,
+          value: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    rows = materialise(_described(docs.select("doc_id", "source", "text"), seed, value).drop("text", "source"), "mix-rows")
+    _, due, cuts = plan(rows, weights, share, most)
+    taken = _taken(_placed(_described(docs, seed, value), due), cuts)
+    return taken.withColumn("_mix_copy", F.explode(F.expr("array_repeat(1, cast(_mix_copies as int))"))).select(*docs.columns)

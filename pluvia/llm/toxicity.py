@@ -115,7 +115,7 @@ class Sparse:
 
 
 def fit(texts: list[set[str]], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS,
-        swap_penalty: float = 5.0, ridge: float = 1e-3, rounds: int = 300,
+        swap_penalty: float = 5.0, ridge: float = 1e-4, rounds: int = 300,
         least_chi2: float = 12.0, max_features: int = 4096) -> tuple[list[str], np.ndarray, float]:
     """(features, weights, bias) of the word sets of labelled texts."""
     n1, n = int(labels.sum()), len(labels)
@@ -135,11 +135,9 @@ def fit(texts: list[set[str]], labels: np.ndarray, groups: Sequence[Sequence[str
              for r, t in zip(rows, texts, strict=True) if not t.isdisjoint(partner)]
     left, right = Sparse([a for a, _ in twins], len(names)), Sparse([b for _, b in twins], len(names))
     w, bias = np.zeros(len(names)), float(np.log(n1 / (n - n1)))
-    weight = np.where(labels == 1, n / (2 * n1), n / (2 * (n - n1)))  # both labels count alike
-    bias = 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):  # Adam on the whole sample
-        error = (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -40, 40))) - labels) * weight
+        error = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -40, 40))) - labels
         gradient = x.back(error) / n + ridge * w
         if twins:
             change = left.dot(w) - right.dot(w)
