@@ -9,16 +9,17 @@
    if their signatures agree well enough (five standard deviations below the limit) and
    are confirmed on the full sets. Components of these links follow by large-star and
    small-star.
-4. What is left are classes of different components in one bucket. A bucket with up to
-   ``pair_limit`` members pairs them across components. A larger one is dealt again by
-   the key of one more band, twice if need be; what still holds together after three
-   bands is paired across components by a join. A pair at the limit shares fewer than
-   three bands with a probability of 1.2e-5, and only such a pair, in large buckets
-   only, can be missed. Found links join the components.
-
-So the links confirmed give the components that all pairs would give, without the pairs
-inside a group of near copies. All joins are between written tables, which lets Spark
-split a hot bucket or class.
+4. What is left are classes of different components in one bucket, say documents that
+   share a long passage and little else. They are joined exactly: two sets at the limit
+   have a shingle in common among the rarest fifth of each, if shingles that no other
+   open component has come first. Such shingles deal the classes anew. Up to
+   ``pair_limit`` classes under one shingle are paired across components, each pair under
+   its first common shingle only; more are compared in blocks of bounded size, as products
+   of incidence matrices, and only links leave a block. Found links join the components.
+
+So the links give the components that all pairs would give, but for pairs that share no
+bucket, and without the pairs inside a group of near copies. Joins are between written
+tables, which lets Spark split a hot bucket or class.
 
 Nulls and other cases: a null, empty or blank text has no shingles and is linked with
 nothing; fewer words than a shingle make one shingle of them all; words are lower-cased
@@ -33,8 +34,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.llm.components import components
@@ -44,7 +46,8 @@ from pluvia.session import materialise
 ROWS = 4
 BANDS = 32
 HASHES = ROWS * BANDS
-DEPTH = 3
+BLOCK = 1 << 16
+COLUMNS = 4096
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -131,58 +134,118 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(fits)), batch.column("b").filter(pa.array(fits))], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree and whose full sets are similar enough."""
-    p = percent / 100
-    chance = 1 / 256
+def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the similarity and whose signatures agree well enough."""
+    p, chance = percent / 100, 1 / 256
     expected = p + (1 - p) * chance
     least = int(np.floor(HASHES * expected - 5 * np.sqrt(HASHES * expected * (1 - expected))))
     marks = classes.select("node", "marks", "n_shingles")
     a = marks.select(F.col("node").alias("a"), F.col("marks").alias("marks_a"), F.col("n_shingles").alias("n_a"))
     b = marks.select(F.col("node").alias("b"), F.col("marks").alias("marks_b"), F.col("n_shingles").alias("n_b"))
     sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near = materialise(
+    return materialise(
         pairs.join(b, "b").join(a, "a").where(sized).select("a", "b", "marks_a", "marks_b")
         .mapInArrow(lambda batches: _agreeing(batches, least), "a long, b long").distinct(), "near-pairs")
-    nodes = materialise(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(),
-                        "near-nodes")
-    full = materialise(
-        texts(docs).join(nodes, "doc_id", "left_semi").mapInArrow(_sets(k), "node long, shingles array<bigint>"), "near-sets")
-    sets_a = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    sets_b = full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the documents whose id is a node; a row for each different set."""
+    found = texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
+        _sets(k), "node long, shingles array<bigint>")
+    return materialise(found, "sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    sets_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     union = F.size("set_a") + F.size("set_b") - F.col("both")
     return materialise(
-        near.join(sets_b, "b").join(sets_a, "a").withColumn("both", both)
+        pairs.join(sets_b, "b").join(sets_a, "a").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
         .where(100 * F.col("both") >= percent * union).select("a", "b").distinct(), "links")
 
 
-def _crossing(members: DataFrame, pair_limit: int) -> DataFrame:
-    """Pairs of members of one bucket in different components, for all buckets.
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    near = agreeing(pairs, classes, percent)
+    nodes = materialise(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+    return similar(near, shingle_sets(docs, nodes, k), percent)
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every one of ``b``, exactly."""
+    flat = np.concatenate([*a, *b])
+    names, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # shingles that only one set has are in no intersection
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    held = times[place] > 1
+    owner, at = owner[held], column[place][held]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        some = slice(*np.searchsorted(at, [lo, lo + COLUMNS]))
+        dense = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        dense[owner[some], at[some] - lo] = 1
+        out += dense[:len(a)] @ dense[len(a):].T
+    return out.astype(np.int64)  # float32 counts are exact under 2^24
+
+
+def _block_links(percent: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
+        frame = frame.sort_values(["node", "sid"])
+        left = frame[frame["chunk"] == lo]
+        right = frame[frame["chunk"] == hi]
+        sizes = [f["shingles"].map(len).to_numpy() for f in (left, right)]
+        both = common_counts(list(left["shingles"]), list(right["shingles"]))
+        link = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        link &= left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+        i, j = np.nonzero(link)
+        a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    ``members`` has (bucket, band, node, root, keys). Large buckets are dealt by further
-    bands first, as the module's text says.
-    """
-    pairs = []
-    for depth in range(1, DEPTH + 1):
-        sizes = materialise(
-            members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r1"), F.max("root").alias("r2"))
-            .where("r1 <> r2").select("bucket", "size"), "bucket-sizes")
-        mixed_members = materialise(members.join(sizes, "bucket"), "bucket-members")
-        small = mixed_members.where(F.col("size") <= pair_limit) if depth < DEPTH else mixed_members
-        left = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        right = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        pairs.append(left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b"))
-        large = mixed_members.where(F.col("size") > pair_limit)
-        if depth == DEPTH or large.isEmpty():
-            break
-        members = (
-            large.select("bucket", "band", "node", "root", "keys", F.posexplode("keys").alias("next", "key")).where("next > band")
-            .select(F.xxhash64("bucket", "next", "key").alias("bucket"), F.col("next").alias("band"), "node", "root", "keys"))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    return run
+
+
+def remaining_links(open_nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, pair_limit: int) -> DataFrame:
+    """All links (a, b) between different components among ``open_nodes`` (node, root)."""
+    sets = shingle_sets(docs, open_nodes, k)
+    own = materialise(sets.withColumn("sid", F.xxhash64("shingles")).dropDuplicates(["node", "sid"]).join(open_nodes, "node"), "open-sets")
+    rows = own.select("node", "sid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = materialise(
+        rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        .where("r1 <> r2").select("shingle", "df"), "open-shingles")
+    one = Window.partitionBy("node", "sid")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    first = materialise(
+        rows.join(shared, "shingle").withColumn("rank", F.row_number().over(one.orderBy("df", "shingle")))
+        .withColumn("others", F.count(F.lit(1)).over(one))
+        .where(F.col("rank") + F.col("n") - F.col("others") <= length).select("shingle", "node", "sid", "root", "n"), "first-shingles")
+    sizes = materialise(
+        first.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+        .where("r1 <> r2").select("shingle", "size", "words"), "first-sizes")
+
+    prefixes = materialise(first.groupBy("node", "sid").agg(F.collect_set("shingle").alias("pre")), "prefixes")
+    dealt = first.join(sizes, "shingle")
+    small = materialise(dealt.where(F.col("size") <= pair_limit).drop("size", "words").join(prefixes, ["node", "sid"]), "small-groups")
+    left = small.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("pre").alias("pre_a"), F.col("n").alias("n_a"))
+    right = small.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("pre").alias("pre_b"), F.col("n").alias("n_b"))
+    fits = ("a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b) "
+            "and shingle = array_min(array_intersect(pre_a, pre_b))").format(percent)
+    paired = materialise(left.join(right, "shingle").where(fits).select("a", "b").distinct(), "small-pairs")
+    links = similar(agreeing(paired, classes, percent), own, percent)
+
+    large = materialise(dealt.where(F.col("size") > pair_limit), "large-groups")
+    if large.isEmpty():
+        return links
+    chunks = F.ceil(F.col("words") / BLOCK).cast("int")
+    blocks = (
+        large.withColumn("chunk", F.pmod(F.xxhash64("node", "sid"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("shingle", "node", "sid", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+        .join(own, ["node", "sid"]))
+    found = blocks.groupBy("shingle", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
+    return materialise(links.unionByName(found).distinct(), "all-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pair_limit: int = 64) -> DataFrame:
@@ -208,10 +271,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pair_limit:
     open_buckets = materialise(
         rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket"),
         "open-buckets")
-    keyed = rooted.join(open_buckets, "bucket", "left_semi").join(linked.select("node", "keys"), "node")
-    crossing = materialise(_crossing(materialise(keyed.select("bucket", "band", "node", "root", "keys"), "open-members"), pair_limit),
-                           "crossing")
-    second = confirmed(crossing, linked, docs, k, percent)
+    open_nodes = materialise(rooted.join(open_buckets, "bucket", "left_semi").select("node", "root").distinct(), "open-nodes")
+    second = remaining_links(open_nodes, linked, docs, k, percent, pair_limit)
     if not second.isEmpty():
         roots = components(first.unionByName(second))
     ends = materialise(
