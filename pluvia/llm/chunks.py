@@ -1,64 +1,155 @@
 """Texts cut where byte-level BPE never merges across, with remembered encodings.
 
-The split pattern of the byte-level tokenizers always starts a match at a space that is
-followed by something other than white space, so a text may be cut before each such
-space and the parts encoded one by one. Natural text repeats its words, so a bounded
-memory of encoded parts saves most of the work and changes no result.
+The split pattern of the byte-level tokenizers starts a match at a space before something
+that is not white space, at a stop or comma after a letter, at a newline after a visible
+character, and at a letter after a newline. So a text may be cut there and the parts
+encoded one by one. Natural text repeats its words: a bounded table of encoded parts
+saves most of the work and changes no result.
+
+Cutting, hashing, looking up and joining are array operations over a few megabytes of
+text at a time; only parts that are not in the table become Python strings. Parts are told
+apart by 64-bit hashes that include their lengths.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
-from typing import Generic, TypeVar
 
-V = TypeVar("V")
-_CUT = re.compile(r" (?=\S)")
-ENTRIES = 300_000
-LONGEST = 64
-TEXTS = 256
+import numpy as np
+
+from pluvia.llm.words import byte_sums, mixed
+
+BATCH = 4 << 20
+ENTRIES = 400_000
+LONGEST = 48
+
+
+def _flags(*groups: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[b for g in groups for b in g]] = True
+    return out
+
+
+_LETTER = _flags(range(65, 91), range(97, 123))
+# no cut before what may be white space: control characters, and the first bytes of
+# all multi-byte characters that can be
+_AFTER_SPACE = ~_flags(range(9, 14), range(28, 33), (0xC2, 0xE1, 0xE2, 0xE3))
+_STOP = _flags((44, 46))
+_VISIBLE = _flags(range(33, 127))
+
 
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Places at which the bytes may be cut, for every byte but the first and last."""
+    here, before, after = buf[1:-1], buf[:-2], buf[2:]
+    newline = here == 10
+    cut = (here == 32) & _AFTER_SPACE[after]
+    cut |= _STOP[here] & _LETTER[before]
+    cut |= newline & _VISIBLE[before]
+    cut |= _LETTER[here] & (before == 10)
+    return np.flatnonzero(cut) + 1
 
-class Memory(Generic[V]):
-    """Encodings of parts: at most two generations of ``entries``, the older one dropped."""
 
-    def __init__(self, encode: Callable[[list[str]], list[V]], entries: int = ENTRIES) -> None:
+def pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in pieces of about ``size`` bytes, cut at such places."""
+    at = 0
+    while len(text) - at > size:
+        reach = size
+        while not len(found := cuts(np.frombuffer(text, np.uint8, min(reach, len(text) - at), at))) and at + reach < len(text):
+            reach *= 2
+        if not len(found):
+            break
+        yield text[at:at + int(found[-1])]
+        at += int(found[-1])
+    yield text[at:]
+
+
+class Memory:
+    """Encodes texts by parts; ``encode`` gives the ids (unsigned 32-bit) of new parts."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[np.ndarray]], entries: int = ENTRIES) -> None:
         self.encode, self.entries = encode, entries
-        self.young: dict[str, V] = {}
-        self.old: dict[str, V] = {}
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+        self.clock = 0
 
-    def encoded(self, texts: Iterable[str]) -> Iterator[list[V]]:
-        """The encodings of each text's parts, in order."""
-        held: list[str] = []
+    def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        held: list[bytes] = []
         size = 0
         for text in texts:
-            held.append(text)
-            size += len(text)
-            if len(held) >= TEXTS or size > 1 << 20:
+            data = text.encode("utf-8", "surrogatepass")
+            if len(data) > BATCH:
+                yield from self._some(held)
+                held, size = [], 0
+                yield np.concatenate([next(self._some([p])) for p in pieces(data, BATCH)])
+                continue
+            held.append(data)
+            size += len(data)
+            if size > BATCH:
                 yield from self._some(held)
                 held, size = [], 0
         yield from self._some(held)
 
-    def _some(self, texts: list[str]) -> Iterator[list[V]]:
-        split = [t.split(" ") for t in texts]
-        starts, parts = [p[0] for p in split], [p[1:] for p in split]
-        new = set().union(*parts) - self.young.keys()
-        odd = {p for p in new if not p or p[0].isspace()}  # such parts are never remembered
-        if odd:
-            for i, own in enumerate(parts):
-                if not odd.isdisjoint(own):
-                    starts[i], *parts[i] = _CUT.split(texts[i])
-            new = set().union(*parts) - self.young.keys()
-        if len(self.young) + len(new) > self.entries:
-            self.old, self.young = self.young, {}
-            new = set().union(*parts)
-        known = {p: self.old[p] for p in new & self.old.keys()}
-        rest = list(new - known.keys())
-        known.update(zip(rest, self.encode([" " + p for p in rest]), strict=True))
-        here = self.young
-        here.update(known)
-        for start, own in zip(self.encode(starts), parts, strict=True):
-            yield [start, *map(here.__getitem__, own)]
-        for p in known:  # long parts are seldom met again
-            if len(p) > LONGEST:
-                del here[p]
+    def _some(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        blob = b"".join(texts)
+        if not blob:
+            yield from (np.zeros(0, np.uint32) for _ in texts)
+            return
+        buf = np.frombuffer(blob, np.uint8)
+        edge = np.zeros(len(buf), bool)
+        edge[cuts(buf)] = True
+        there = lengths > 0
+        edge[bounds[1:][there] - 1] = False  # a cut needs a byte after it in its own text
+        edge[bounds[:-1][there]] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(buf))
+        hashes = mixed(byte_sums(buf, starts, ends) + (ends - starts).astype(np.uint64))
+        unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        entry = self._entries(blob, unique, starts[first], ends[first])[place]
+
+        sizes = self.sizes[entry]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.starts[entry] - upto[:-1], sizes) + np.arange(upto[-1])]
+        cut = upto[np.searchsorted(starts, bounds)].tolist()
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            yield ids[lo:hi]
+
+    def _entries(self, blob: bytes, unique: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The table's entries of sorted hashes; new ones are encoded and put in."""
+        self.clock += 1
+        if len(self.hashes) > self.entries:
+            self._drop_old()
+        at = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            parts = [blob[lo:hi].decode("utf-8", "surrogatepass")
+                     for lo, hi in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = list(self.encode(parts))
+            sizes = np.array([len(f) for f in found], np.int64)
+            begin = len(self.pool) + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, *found]).astype(np.uint32, copy=False)
+            # long parts are seldom met again: they are the first to be dropped
+            used = np.where(ends[new] - starts[new] > LONGEST, -1, self.clock)
+            order = np.argsort(np.concatenate([self.hashes, unique[new]]), kind="stable")
+            for name, more in (("hashes", unique[new]), ("starts", begin), ("sizes", sizes), ("used", used)):
+                setattr(self, name, np.concatenate([getattr(self, name), more])[order])
+            at = np.searchsorted(self.hashes, unique)
+        self.used[at] = np.where(self.used[at] < 0, -1, self.clock)
+        return at
+
+    def _drop_old(self) -> None:
+        """Keep the half of the entries that were met last."""
+        half = self.entries // 2
+        keep = np.sort(np.argpartition(-self.used, half)[:half])
+        sizes = self.sizes[keep]
+        upto = np.cumsum(sizes) - sizes
+        self.pool = self.pool[np.repeat(self.starts[keep] - upto, sizes) + np.arange(sizes.sum())]
+        self.hashes, self.starts, self.sizes, self.used = self.hashes[keep], upto, sizes, self.used[keep]

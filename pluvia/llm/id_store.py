@@ -38,15 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.llm.chunks import LONGEST, Memory
+from pluvia.llm.chunks import Memory
 from pluvia.llm.words import mixed
 from pluvia.session import materialise, scratch_path
 
 KEYS_PER_PART = 1 << 14
 MAGIC = b"KEYINDX1"
 NULL_KEY = 0x9E3779B97F4A7C15
-BLOCK = 1 << 15
-WORDS = 250_000
+TOGETHER = 4096
 
 
 # ---- encoding -------------------------------------------------------------------------
@@ -65,69 +64,49 @@ def tokenizer(path: str):
     return own, lengths
 
 
-def _encode_together(parts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of parts that each start with a space and a character that is none."""
+def _encode_together(parts: list[str], path: str, between: str) -> list[np.ndarray]:
+    """The ids of parts that may be encoded as one text with ``between`` before each."""
     own, lengths = tokenizer(path)
-    ids = np.array(own.encode("".join(parts), add_special_tokens=False).ids, np.uint32)
-    ends = np.cumsum(lengths[ids])
-    wanted = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in parts])
-    cuts = np.searchsorted(ends, wanted) + 1
-    if not np.array_equal(ends[cuts - 1], wanted):
+    ids = np.array(own.encode("".join(between + p for p in parts), add_special_tokens=False).ids, np.uint32)
+    ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+    sizes = np.array([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in parts])
+    stops = np.cumsum(sizes + len(between))
+    lo, hi = np.searchsorted(ends, stops - sizes), np.searchsorted(ends, stops)
+    if not (np.array_equal(ends[lo], stops - sizes) and np.array_equal(ends[hi], stops)):
         return [np.array(e.ids, np.uint32) for e in own.encode_batch(parts, add_special_tokens=False)]
-    return np.split(ids, cuts[:-1])
-
-
-def _encode_new(parts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of parts that were not met before, by the library."""
-    own, _ = tokenizer(path)
-    joint = [p for p in parts if len(p) > 1 and p[0] == " " and not p[1].isspace()]
-    found: dict[str, bytes] = {}
-    group: list[str] = []
-    size = 0
-    for p in [*joint, ""]:
-        if p:
-            group.append(p)
-            size += len(p)
-        if group and (size >= BLOCK or not p):
-            found.update((g, ids.astype("<u4").tobytes()) for g, ids in zip(group, _encode_together(group, path), strict=True))
-            group, size = [], 0
-    alone = [p for p in parts if p not in found]
-    found.update((p, np.array(e.ids, "<u4").tobytes())
-                 for p, e in zip(alone, own.encode_batch(alone, add_special_tokens=False), strict=True))
-    return map(found.__getitem__, parts)
+    return [ids[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
 def memory(path: str) -> Memory:
-    """Remembered parts as their ids, four bytes each; a word and its stop are looked up apart."""
-    special = [t.content for t in tokenizer(path)[0].get_added_tokens_decoder().values()]
-    words: dict[str, bytes] = {}
-
-    def split(part: str) -> list[str]:
-        word = part[1:] if part[:1] == " " else part
-        if not word.isalpha() and part[-1:] in (".", ",") and word[:-1].isalpha() and not any(s in part for s in special):
-            return [part[:-1], part[-1]]
-        return [part]
-
-    def encode(parts: list[str]) -> list[bytes]:
-        cut = [split(p) for p in parts]
-        new = list(set().union(*cut) - words.keys())
-        if len(words) + len(new) > WORDS:
-            words.clear()
-            new = list(set().union(*cut))
-        words.update(zip(new, _encode_new(new, path), strict=True))
-        out = [words[c[0]] if len(c) == 1 else words[c[0]] + words[c[1]] for c in cut]
-        for p in new:
-            if len(p) > LONGEST:
-                del words[p]
+    """Parts that were not met before go to the library, many at a time."""
+    own, _ = tokenizer(path)
+
+    def kind(part: str) -> str | None:
+        """What may stand before the part without a change of its ids; None if it goes alone."""
+        if part[0] == " " and len(part) > 1 and not part[1].isspace():
+            return ""
+        return "\n" if part[0].isascii() and part[0].isalpha() else None
+
+    def encode(parts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
+        groups: dict[str | None, list[int]] = {"": [], "\n": [], None: []}
+        for i, p in enumerate(parts):
+            groups[kind(p)].append(i)
+        for i, e in zip(groups[None], own.encode_batch([parts[i] for i in groups[None]], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        for between in ("", "\n"):
+            some = groups[between]
+            for lo in range(0, len(some), TOGETHER):
+                for i, ids in zip(some[lo:lo + TOGETHER], _encode_together([parts[i] for i in some[lo:lo + TOGETHER]], path, between), strict=True):
+                    out[i] = ids
         return out
 
     return Memory(encode)
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    for parts in memory(path).encoded(texts):
-        yield np.frombuffer(b"".join(parts), "<u4")
+    return memory(path).encoded(texts)
 
 
 # ---- minimal perfect hash index ---------------------------------------------------------
@@ -240,7 +219,7 @@ def _write_shard(uri: str, path: str, end_id: int):
         shard = TaskContext.get().partitionId()
         own, _ = tokenizer(path)
         kind = "<u2" if own.get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], np.uint32)
         offsets: list[np.ndarray] = [np.zeros(1, np.int64)]
         entries: list[list[int | None]] = []  # of the batch; the last one goes on into the next
         ready: list[list[list[int | None]]] = []

@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ from pluvia.llm.chunks import Memory
 
 REMEMBERED = 600_000
 SHORT = 48
-WORDS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -175,45 +173,22 @@ def coder(path: str) -> Coder:
     return Coder(read_ranks(path))
 
 
-def _matches(part: str, pattern: regex.Pattern) -> list[str]:
-    """The matches of the split pattern in a part; words with or without a stop need no search."""
-    word = part[1:] if part[:1] == " " else part
-    if word.isalpha():
-        return [part]
-    if part[-1:] in (".", ",") and word[:-1].isalpha():
-        return [part[:-1], part[-1]]
-    return pattern.findall(part)
-
-
 @functools.lru_cache(maxsize=2)
 def memory(path: str, pattern: str) -> Memory:
-    """Remembered parts as their ids, four bytes each."""
     own, compiled = coder(path), regex.compile(pattern)
-    words: dict[str, list[int]] = {}
 
-    def encode(parts: list[str]) -> list[bytes]:
-        out = []
+    def encode(parts: list[str]) -> Iterator[np.ndarray]:
         for part in parts:
-            ids: list[int] = []
-            for match in _matches(part, compiled):
-                known = words.get(match)
-                if known is None:
-                    known = own.encode(match.encode("utf-8", "surrogatepass"))
-                    if len(match) <= SHORT:
-                        if len(words) >= WORDS:
-                            words.clear()
-                        words[match] = known
-                ids += known
-            out.append(array("I", ids).tobytes())
-        return out
+            # a space and a word, or a word, is one match
+            found = [part] if (part[1:] if part[0] == " " else part).isalpha() else compiled.findall(part)
+            yield np.array([i for m in found for i in own.encode(m.encode("utf-8", "surrogatepass"))], np.uint32)
 
     return Memory(encode)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[np.ndarray]:
     """The ids of each text."""
-    for parts in memory(path, pattern).encoded(texts):
-        yield np.frombuffer(b"".join(parts), np.uint32)
+    return memory(path, pattern).encoded(texts)
 
 
 def _digests(path: str, pattern: str):

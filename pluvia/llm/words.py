@@ -55,10 +55,15 @@ def _hash_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     blank[1:-1] = _BLANK[buf]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     starts, ends = edges[::2], edges[1::2]
+    return mixed(byte_sums(buf, starts, ends) + (ends - starts).astype(np.uint64)), starts
+
+
+def byte_sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial of the bytes of each range, whatever its place."""
     powers, inverses = _tables(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)), starts
+    return (sums[ends] - sums[starts]) * inverses[starts]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
