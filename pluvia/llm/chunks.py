@@ -2,7 +2,7 @@
 
 The split pattern of the byte-level tokenizers starts a match at a space before something
 that is not white space, at a stop or comma after a letter, at a newline after a visible
-character, and at a letter after a newline. So a text may be cut there and the parts
+character, and at a letter after that newline. So a text may be cut there and the parts
 encoded one by one. Natural text repeats its words: a bounded table of encoded parts
 saves most of the work and changes no result.
 
@@ -45,7 +45,8 @@ def cuts(buf: np.ndarray) -> np.ndarray:
     cut = (here == 32) & _AFTER_SPACE[after]
     cut |= _STOP[here] & _LETTER[before]
     cut |= newline & _VISIBLE[before]
-    cut |= _LETTER[here] & (before == 10)
+    # only after a single newline: the last of several is a match of its own before a letter
+    cut[1:] |= _LETTER[here[1:]] & (before[1:] == 10) & _VISIBLE[buf[:-3]]
     return np.flatnonzero(cut) + 1
 
 
