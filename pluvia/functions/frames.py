@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-# Spark re-evaluates a sliding frame for every row, so beyond this width the
-# difference of two running sums is cheaper.
-RUNNING_SUM_WIDTH = 64
-
-
 def trailing(column: str, width: int, stat: str, w: WindowSpec) -> Column:
     """``stat`` over the last ``width`` rows; NULL until the frame is full."""
     frame = w.rowsBetween(-(width - 1), 0)
@@ -30,21 +25,65 @@ def centred_bounds(width: int) -> tuple[int, int]:
     return -(width // 2), (width - 1) // 2
 
 
-def centred_mean(column: str, width: int, w: WindowSpec, min_rows: int) -> Column:
-    """Centred mean that switches to running sums for wide frames."""
-    if width <= RUNNING_SUM_WIDTH:
-        return centred(column, width, "avg", w, min_rows)
-    lo, hi = centred_bounds(width)
-    total = _moving_total(F.coalesce(F.col(column), F.lit(0.0)), lo, hi, w)
-    count = _moving_total(F.col(column).isNotNull().cast("double"), lo, hi, w)
-    return F.when(count >= min_rows, total / count)
-
+def add_centred_means(
+    df: DataFrame, plan: Mapping[str, tuple[str, int, int]], w: WindowSpec
+) -> DataFrame:
+    """Centred means over partial frames: output -> (source, width, least present rows).
 
-def _moving_total(value: Column, lo: int, hi: int, w: WindowSpec) -> Column:
-    """Sum over rows [lo, hi] as a difference of running sums, clipped at the ends."""
-    running = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, hi))
-    before = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, lo - 1))
-    return running - F.coalesce(before, F.lit(0.0))
+    A frame is the rows up to this one and those after it. Both halves are put together
+    from block sums and counts as in ``add_trailing``, with nothing for rows beyond the
+    ends, for every width alike.
+    """
+    keep = df.columns
+    halves: dict[str, dict[int, set[int]]] = {}
+    for source, width, _ in plan.values():
+        lo, hi = centred_bounds(width)
+        own = halves.setdefault(source, {1: set(), -1: set()})
+        own[1].add(1 - lo)
+        own[-1].add(hi)
+    for source, own in halves.items():
+        df = df.withColumns({
+            f"_v1_{source}": F.coalesce(F.col(source).cast("double"), F.lit(0.0)),
+            f"_c1_{source}": F.col(source).isNotNull().cast("double")})
+        for way, widths in own.items():
+            df = _add_blocks(df, source, max(widths), way, w)
+
+    def total(kind: str, source: str, width: int) -> Column:
+        lo, hi = centred_bounds(width)
+        parts = [_shifted(f"_{kind}{size}_{source}", size, way, offset + (way < 0), w)
+                 for way, n in ((1, 1 - lo), (-1, hi)) for size, offset in _blocks(n)]
+        return sum(parts[1:], parts[0])
+
+    sums = {f"_{kind}_{out}": total(kind, source, width)
+            for out, (source, width, _) in plan.items() for kind in ("v", "c")}
+    df = df.withColumns(sums)
+    return df.select(*keep, *(
+        F.when(F.col(f"_c_{out}") >= least, F.col(f"_v_{out}") / F.col(f"_c_{out}")).alias(out)
+        for out, (_, _, least) in plan.items()))
+
+
+def _add_blocks(df: DataFrame, source: str, width: int, way: int, w: WindowSpec) -> DataFrame:
+    """Sums and counts of 2, 4, ... rows up to each row (way 1) or from it on (way -1)."""
+    size = 1
+    while 2 * size <= width:
+        df = df.withColumns({
+            _block(f"_{k}{2 * size}_{source}", 2 * size, way):
+                F.col(_block(f"_{k}{size}_{source}", size, way)) + _shifted(f"_{k}{size}_{source}", size, way, size, w)
+            for k in ("v", "c")})
+        size *= 2
+    return df
+
+
+def _block(name: str, size: int, way: int) -> str:
+    return name if size == 1 or way > 0 else f"{name}_on"
+
+
+def _shifted(name: str, size: int, way: int, by: int, w: WindowSpec) -> Column:
+    """A block ``by`` rows back (way 1) or on (way -1); 0 beyond the ends."""
+    column = _block(name, size, way)
+    if by == 0:
+        return F.col(column)
+    return F.coalesce((F.lag if way > 0 else F.lead)(column, by).over(w), F.lit(0.0))
 
 
 def _stat(name: str):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pluvia.functions.exprs import is_monsoon
 from pluvia.functions.quantiles import exact_quantiles
 from pluvia.functions.special import student_two_sided
-from pluvia.session import small
+from pluvia.session import materialise
 from pluvia.spec import DEFAULT, SeriesSpec
 
 # Severity limits of the variance inflation factor.
@@ -198,7 +198,7 @@ def binned_trend(
     edges = exact_quantiles(data, "x", inner, by, max_groups).groupBy(*by).agg(
         F.sort_array(F.collect_list("q")).alias("edges"))
     if by:
-        data = data.join(small(edges, max_groups), by)
+        data = data.join(materialise(edges, "bin-edges"), by)  # read back, its size is known
     else:
         data = data.withColumn("edges", edges.scalar())
     # Edges at or below x, counted over a short array.

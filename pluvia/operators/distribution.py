@@ -23,6 +23,7 @@ HISTOGRAM_EDGES = [
     *[round(0.1 + 0.5 * i, 1) for i in range(20)],
     *[10.0 + 2 * i for i in range(20)],
     *[50.0 + 10 * i for i in range(15)],
+    float("inf"),  # days beyond the last edge have a bin of their own
 ]
 
 
@@ -86,7 +87,7 @@ def annual_stats(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
 def histogram(
     df: DataFrame, edges: Sequence[float] = HISTOGRAM_EDGES, spec: SeriesSpec = DEFAULT
 ) -> DataFrame:
-    """Counts between explicit edges, zero-filled; the last bin is closed on the right."""
+    """Counts between explicit edges, zero-filled; a finite last edge belongs to its bin."""
     bucket = Bucketizer(
         splits=list(edges), inputCol="_x", outputCol="_bin", handleInvalid="keep")
     inside = df.select(spec.series, F.col(spec.target).alias("_x")).withColumn(

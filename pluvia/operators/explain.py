@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pluvia.functions.quantiles import exact_quantiles
 from pluvia.spec import DEFAULT, EXTREME_EVENT, SeriesSpec
 
-# Background rows, grid points, curves, shown features.
-BACKGROUND_ROWS, GRID_POINTS, GRID_POINTS_2D, ICE_ROWS, TOP_FEATURES, LOCAL_FEATURES = 500, 50, 30, 100, 20, 12
+# Grid points, curves, shown features; about so many background rows a bucket.
+GRID_POINTS, GRID_POINTS_2D, ICE_ROWS, TOP_FEATURES, LOCAL_FEATURES = 50, 30, 100, 20, 12
+BUCKET_ROWS = 16
 SEED = 42
 
 # Adds a "prediction" column to rows that carry the feature array "x".
@@ -48,28 +49,33 @@ def linear_predictor(intercept: Column, coefficients: Column) -> Predictor:
 
 def shapley_values(
     rows: DataFrame, background: DataFrame, model, features: Sequence[str], permutations: int = 8,
-    n_background: int = BACKGROUND_ROWS, spec: SeriesSpec = DEFAULT,
+    spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
     """Permutation-sampled Shapley values of every row: (key, feature, value, phi, base, prediction).
 
     Each row walks from a background row to itself, one feature at a time in a
-    hash-drawn order, and all steps are scored by one distributed transform. A
+    hash-drawn order. The background row is drawn from all of them: a hash picks one of
+    many small buckets, and a row in it. Along the way all steps are scored by one distributed transform. A
     step's prediction counts for the feature before it and against the one
     after it, so no row needs its neighbour, and the steps of a row collapse to
     p sums before the shuffle. The phis add up to prediction - base exactly.
     """
     p = len(features)
     predict = model_predictor(model)
-    bg = background.orderBy(F.xxhash64(*spec.key, F.lit(SEED)), *spec.key).limit(n_background)
-    pool = bg.agg(F.collect_list(feature_array(features)).alias("pool")).scalar()
+    buckets = max(1, background.count() // BUCKET_ROWS)
+    pools = background.groupBy(F.pmod(F.xxhash64(*spec.key, F.lit(SEED)), F.lit(buckets)).alias("_bucket")).agg(
+        F.array_sort(F.collect_list(feature_array(features))).alias("_pool"))
+    spare = pools.agg(F.min_by("_pool", "_bucket")).scalar()  # for the rare draw of an empty bucket
     base = rows.select(*spec.key, feature_array(features).alias("target_x"))
     walks = base.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    draw = F.pmod(F.xxhash64(*spec.key, "m", F.lit("z")), F.size(pool).cast("bigint")).cast("int")
+    walks = walks.withColumn("_bucket", F.pmod(F.xxhash64(*spec.key, "m", F.lit("z")), F.lit(buckets)))
+    walks = walks.join(pools, "_bucket", "left").withColumn("_pool", F.coalesce("_pool", spare))
+    draw = F.pmod(F.xxhash64("m", *spec.key, F.lit("row")), F.size("_pool").cast("bigint")).cast("int")
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(p - 1)),
         lambda i: F.struct(F.xxhash64(*spec.key, F.col("m"), i).alias("h"), i.alias("i"))))
     walks = walks.select(
-        *spec.key, "target_x", F.get(pool, draw).alias("z"),
+        *spec.key, "target_x", F.get("_pool", draw).alias("z"),
         F.transform(order, lambda e: e["i"]).alias("order"))
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     mixed = F.transform("target_x", lambda v, i: F.when(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.exprs import bin_index, col, melt
-from pluvia.functions.frames import add_trailing, centred, centred_mean
+from pluvia.functions.frames import add_centred_means, add_trailing, centred
 from pluvia.functions.quantiles import exact_quantiles, quantile_columns
 from pluvia.spec import (
     COVARIATE_LAGS, COVARIATE_ROLLS, DEFAULT, DRY_LIMIT, TARGET_LAGS, TARGET_ROLLS, SeriesSpec,
@@ -86,13 +86,9 @@ def add_centred(
 ) -> DataFrame:
     """Centred smoothing for exploration; not a feature, it looks ahead."""
     w = spec.ordered()
-    cols = {
-        f"{spec.target}_centred_mean_{n}": centred_mean(spec.target, n, w, n // 2) for n in windows
-    }
-    cols[f"{spec.target}_centred_std_{std_window}"] = centred(
-        spec.target, std_window, "std", w, std_window // 2
-    )
-    return df.withColumns(cols)
+    plan = {f"{spec.target}_centred_mean_{n}": (spec.target, n, n // 2) for n in windows}
+    std = centred(spec.target, std_window, "std", w, std_window // 2)
+    return add_centred_means(df, plan, w).withColumn(f"{spec.target}_centred_std_{std_window}", std)
 
 
 def add_calendar_features(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -352,25 +348,22 @@ def sample_weight(
     return F.when(col(target) > threshold, F.lit(weight)).otherwise(F.lit(1.0))
 
 
-def histogram_by_season(df: DataFrame, feature: str) -> DataFrame:
+def histogram_by_season(df: DataFrame, feature: str, n_bins: int = 50) -> DataFrame:
     """Density histogram of one feature, monsoon against the rest, on shared
     bins between the exact 1 % and 99 % quantiles; outliers are clipped in."""
     data = df.where(F.col(feature).isNotNull()).select(
         F.col(feature).cast("double").alias("x"), (F.col("is_monsoon") == 1).alias("monsoon")
     )
     edges = quantile_columns(exact_quantiles(data, "x", [0.01, 0.99]), [], {0.01: "lo", 0.99: "hi"})
-    n = data.agg(F.count("*").alias("n"))
-    bins = F.least(F.lit(50), F.greatest(F.lit(20), F.floor(F.col("n") / 100))).cast("int")
-    shape = edges.withColumn("n", n.scalar()).select(F.struct("lo", "hi", bins.alias("n_bins")))
-    data = data.withColumn("s", shape.scalar())
-    lo, hi, n_bins = F.col("s.lo"), F.col("s.hi"), F.col("s.n_bins")
+    data = data.withColumn("s", edges.select(F.struct("lo", "hi")).scalar())
+    lo, hi = F.col("s.lo"), F.col("s.hi")
     clipped = F.greatest(lo, F.least(hi, F.col("x")))
     counts = data.groupBy("monsoon", bin_index(clipped, lo, hi, n_bins).alias("bin")).agg(
         F.count("*").alias("n"),
         F.max(lo + (hi - lo) / n_bins * bin_index(clipped, lo, hi, n_bins)).alias("left_edge"),
         F.max((hi - lo) / n_bins).alias("width"),
     )
-    group = Window.partitionBy("monsoon")  # at most 50 bins each
+    group = Window.partitionBy("monsoon")  # n_bins rows each
     return counts.select(
         F.lit(feature).alias("feature"), "monsoon", "bin", "left_edge", "n",
         (F.col("n") / F.sum("n").over(group) / F.col("width")).alias("density"),

@@ -114,14 +114,12 @@ def carried_residual(
     df: DataFrame, lookback: int = 60, decay: float = 0.5, spec: SeriesSpec = DEFAULT
 ) -> DataFrame:
     """Adds the hybrid of climatology and yesterday's log residual, damped by the
-    usual day-to-day persistence and available once ``lookback`` rows of the
-    split lie behind; before that it is NULL."""
+    usual day-to-day persistence. The residual counts once ``lookback`` rows of the
+    split lie behind; before that it is 0 and the base forecast stands."""
     df = df.withColumns({
         "_res": log_residual(F.col(spec.target), F.col("climatology")),
         "_seen": F.row_number().over(spec.ordered("split")),
     })
     df = df.withColumn("_hat", F.lag("_res").over(spec.ordered()) * decay)
-    return df.withColumn(
-        "hybrid",
-        F.when(F.col("_seen") > lookback, hybrid_column(F.col("climatology"), F.col("_hat"))),
-    ).drop("_res", "_seen", "_hat")
+    known = F.when(F.col("_seen") > lookback, F.col("_hat"))
+    return df.withColumn("hybrid", hybrid_column(F.col("climatology"), known)).drop("_res", "_seen", "_hat")

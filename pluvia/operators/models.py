@@ -32,7 +32,7 @@ STOP_TOLERANCE = 0.001
 # Exogenous columns of the linear seasonal model and its seasonal lag.
 EXOGENOUS = (
     "cloud", "wind", "solar_rad", "cloud_lag1", "cloud_lag3", "cloud_lag7",
-    "month_sin", "month_cos", "is_monsoon")
+    "month_sin", "month_cos", "monsoon_flag")
 SEASONAL_LAG = 12
 
 
@@ -157,10 +157,12 @@ def seasonal_inputs(
     df: DataFrame, exogenous: Sequence[str] = EXOGENOUS, max_lag: int = 2,
     seasonal_lag: int = SEASONAL_LAG, spec: SeriesSpec = DEFAULT,
 ) -> tuple[DataFrame, list[str]]:
-    """log1p target, its lags and the exogenous columns that exist; the lags come
-    from the whole series, so a split starts with its true history."""
+    """log1p target, its lags and the exogenous columns, all of which must exist; the lags
+    come from the whole series, so a split starts with its true history."""
     w = spec.ordered()
-    present = [c for c in exogenous if c in df.columns]
+    present = list(exogenous)
+    if absent := [c for c in present if c not in df.columns]:
+        raise ValueError(f"exogenous columns are absent: {absent}")
     y = F.log1p(F.col(spec.target).cast("double"))
     lags = {f"ar{k}": F.lag(y, k).over(w) for k in range(1, max_lag + 1)}
     lags["seasonal"] = F.lag(y, seasonal_lag).over(w)
@@ -243,7 +245,7 @@ def bootstrap_ensemble(
     train = rows.where(F.col("split") == "train")
     scored = rows.where(F.col("split") == split)
     for k in range(members):
-        u = (F.pmod(F.xxhash64(*spec.key, F.lit(SEED + k)), F.lit(1_000_003)) + 0.5) / 1_000_003
+        u = (F.shiftrightunsigned(F.xxhash64(*spec.key, F.lit(SEED + k)), 11) + 0.5) / float(2**53)
         draws = train.withColumn("draws", _poisson(u)).where(F.col("draws") > 0)
         model = GBTRegressor(
             labelCol="log_rainfall", featuresCol="x", weightCol="draws", predictionCol=f"_m{k}",
@@ -255,11 +257,13 @@ def bootstrap_ensemble(
 
 
 def _poisson(u):
-    """Poisson(1) count of a uniform number by its cumulative distribution."""
-    total, count = 0.0, F.lit(0.0)
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
+    """Poisson(1) count of a uniform number by its cumulative distribution, as far as a
+    double can tell the tail from nothing."""
+    total, count, k = 0.0, F.lit(0.0), 0
+    while total < 1.0 and (share := math.exp(-1) / math.factorial(k)) > 2.0**-54:
+        total += share
         count = count + (u > total).cast("double")
+        k += 1
     return count
 
 

@@ -186,8 +186,10 @@ def year_day_matrix(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     cells = df.where(F.dayofyear(d) <= 365).select(
         spec.series, F.year(d).alias("year"), F.dayofyear(d).alias("doy"),
         F.log1p(F.col(spec.target)).alias("v"))
-    wide = cells.groupBy(spec.series, "year").pivot("doy", list(range(1, 366))).agg(F.max("v"))
-    return wide.select(spec.series, "year", *[F.col(str(i)).alias(f"d{i}") for i in range(1, 366)])
+    # one map of at most 365 days a row, then one projection
+    days = cells.groupBy(spec.series, "year", "doy").agg(F.max("v").alias("v"))
+    rows = days.groupBy(spec.series, "year").agg(F.map_from_entries(F.collect_list(F.struct("doy", "v"))).alias("m"))
+    return rows.select(spec.series, "year", *[F.try_element_at("m", F.lit(i)).alias(f"d{i}") for i in range(1, 366)])
 
 
 def colour_cap(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:

@@ -15,7 +15,7 @@ from pluvia.operators.models import assemble, fitted_rows
 from pluvia.spec import DEFAULT, SeriesSpec
 
 # Limits of the selection rules and columns that are never removed.
-CORR_LIMIT, MIN_GAIN_FRAC, TOP_ATTRIBUTION, SAMPLE_ROWS = 0.92, 0.001, 30, 3000
+CORR_LIMIT, MIN_GAIN_FRAC, TOP_ATTRIBUTION = 0.92, 0.001, 30
 PROTECTED = {"rainfall", "log_rainfall", "rain_occurrence", "rainfall_wet_only", "is_monsoon", "monsoon_flag"}
 SEED = 42
 
@@ -79,17 +79,12 @@ def rank_gain(table: DataFrame) -> DataFrame:
         F.row_number().over(every.orderBy(F.col("gain").desc(), "feature")).alias("gain_rank"))
 
 
-def sampled(df: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED, spec: SeriesSpec = DEFAULT) -> DataFrame:
-    """The ``n`` rows with the smallest hash: a sample that repeats on any cluster."""
-    return df.orderBy(F.xxhash64(*spec.key, F.lit(seed)), *spec.key).limit(n)
-
-
 def attribution_ranking(
     df: DataFrame, features: Sequence[str], target: str = "log_rainfall",
-    trees: int = 200, depth: int = 4, rate: float = 0.05, n_rows: int = SAMPLE_ROWS, permutations: int = 4,
+    trees: int = 200, depth: int = 4, rate: float = 0.05, permutations: int = 4,
 ) -> DataFrame:
-    """Mean absolute attribution of a boosted regressor on a sample, with rank."""
-    rows = fitted_rows(sampled(df, n_rows), "attribution-sample")
+    """Mean absolute attribution of a boosted regressor over all rows, with rank."""
+    rows = fitted_rows(df, "attribution-rows")
     model = GBTRegressor(
         labelCol=target, featuresCol="x", maxIter=trees, maxDepth=depth, stepSize=rate,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED,

@@ -21,7 +21,7 @@ from pluvia.spec import DEFAULT, SeriesSpec
 # Interval levels (%), calibration levels (%), intensity bins.
 INTERVAL_LEVELS = (60, 70, 80, 90)
 CALIBRATION_LEVELS = (10, 20, 30, 40, 50, 60, 70, 80, 90)
-INTENSITY_BINS = {"Dry": (0.0, 0.1), "Light": (0.1, 5.0), "Moderate": (5.0, 20.0), "Heavy+": (20.0, 999.0)}
+INTENSITY_BINS = {"Dry": (0.0, 0.1), "Light": (0.1, 5.0), "Moderate": (5.0, 20.0), "Heavy+": (20.0, float("inf"))}
 ANALOG_STEP, ANALOG_MEMBERS = 7, 20
 
 
@@ -31,15 +31,14 @@ def analog_ensemble(
 ) -> DataFrame:
     """Members are the values ``step``, 2*``step``, ... days back, on the log scale.
 
-    Lags never leave the split, and rows without a full set are dropped, as a
-    sequence model has no forecast before its lookback is filled.
+    The lags reach back over the whole series, so every day of the split has a forecast
+    if the series holds ``members`` * ``step`` days before it; without a full set a day has none.
     """
-    rows = df.where(F.col("split") == split)
     w = spec.ordered()
     lags = [F.log1p(F.lag(spec.target, step * k).over(w)) for k in range(1, members + 1)]
-    out = rows.withColumns({f"_m{k}": c for k, c in enumerate(lags)})
+    out = df.withColumns({f"_m{k}": c for k, c in enumerate(lags)})
     return (
-        out.where(F.col(f"_m{members - 1}").isNotNull())
+        out.where((F.col("split") == split) & F.col(f"_m{members - 1}").isNotNull())
         .select(*spec.key, F.col(spec.target).alias("actual"),
                 F.array(*[f"_m{k}" for k in range(members)]).alias("members")))
 

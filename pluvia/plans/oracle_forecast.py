@@ -32,15 +32,14 @@ define("based", """
   LEFT JOIN curve366 c ON c.series_id = p.series_id AND c.doy = p.day_of_year
   JOIN (SELECT series_id, avg(v) AS v FROM curve366 GROUP BY 1) o ON o.series_id = p.series_id""", "persist", "curve366")
 define("hybrids", """
-  SELECT *, greatest(exp(ln(1 + climatology) + coalesce(hat, 0)) - 1, 0) AS hybrid FROM (
+  SELECT *, greatest(exp(ln(1 + climatology) + CASE WHEN seen > 60 THEN coalesce(hat, 0) ELSE 0 END) - 1, 0) AS hybrid FROM (
     SELECT *, 0.5 * lag(ln(1 + rainfall) - ln(1 + climatology)) OVER (PARTITION BY series_id ORDER BY date) AS hat,
       row_number() OVER (PARTITION BY series_id, split ORDER BY date) AS seen FROM based)""", "based")
 define("preds", """
   SELECT 'persistence' AS model, split, series_id, date, rainfall AS actual, persistence AS predicted
     FROM hybrids WHERE split <> 'train'
   UNION ALL SELECT 'climatology', split, series_id, date, rainfall, climatology FROM hybrids WHERE split <> 'train'
-  UNION ALL SELECT 'hybrid', split, series_id, date, rainfall, hybrid FROM hybrids
-    WHERE split <> 'train' AND seen > 60""", "hybrids")
+  UNION ALL SELECT 'hybrid', split, series_id, date, rainfall, hybrid FROM hybrids WHERE split <> 'train'""", "hybrids")
 PRED = "model:s split:s series_id:i date:d actual:f predicted:f"
 S["k1_persistence"] = q(PRED, "SELECT * FROM preds WHERE model = 'persistence'", "preds")
 S["k2_climatology"] = q(PRED, "SELECT * FROM preds WHERE model = 'climatology'", "preds")

@@ -281,9 +281,8 @@ S["d21_histogram_by_season"] = q(
     """SELECT 'rh' AS feature, monsoon, bin, count(*) AS n, max(lo + (hi-lo)/nb*bin) AS left_edge,
          count(*) / sum(count(*)) OVER (PARTITION BY monsoon) / max((hi-lo)/nb) AS density
        FROM (SELECT *, least(CAST(floor((greatest(lo, least(hi, rh)) - lo)/(hi-lo)*nb) AS INT), nb-1) AS bin
-             FROM (SELECT rh, is_monsoon = 1 AS monsoon, lo, hi, nb FROM features CROSS JOIN (
-               SELECT quantile_cont(rh, 0.01) AS lo, quantile_cont(rh, 0.99) AS hi,
-                 CAST(least(50, greatest(20, floor(count(rh)/100))) AS INT) AS nb FROM features) WHERE rh IS NOT NULL))
+             FROM (SELECT rh, is_monsoon = 1 AS monsoon, lo, hi, 50 AS nb FROM features CROSS JOIN (
+               SELECT quantile_cont(rh, 0.01) AS lo, quantile_cont(rh, 0.99) AS hi FROM features) WHERE rh IS NOT NULL))
        GROUP BY monsoon, bin""", "features")
 S["d22_counter_calibration"] = q(
     "bin_left:i p_rain:f n:i p_low:f p_high:f",

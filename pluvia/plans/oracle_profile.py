@@ -50,7 +50,7 @@ S["e3_annual_stats"] = q(
        FROM yearly GROUP BY 1""", "yearly")
 _E = HISTOGRAM_EDGES
 define("edges", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(zip(_E, _E[1:]))
+    f"({i}, CAST('{a}' AS DOUBLE), CAST('{b}' AS DOUBLE))" for i, (a, b) in enumerate(zip(_E, _E[1:]))
 ) + ") t(bin, left_edge, right_edge)")
 S["e4_histogram"] = q(
     "series_id:i bin:i left_edge:f right_edge:f n:i",

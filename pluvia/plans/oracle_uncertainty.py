@@ -10,9 +10,9 @@ S: dict[str, str] = {}
 define("members", """
   SELECT series_id, date, rainfall AS actual, k - 1 AS member, value, count(value) OVER (PARTITION BY series_id, date) AS n
   FROM (""" + " UNION ALL ".join(
-    f"""SELECT series_id, date, rainfall, {k} AS k, ln(1 + lag(rainfall, {7 * k}) OVER
-        (PARTITION BY series_id ORDER BY date)) AS value FROM splitdense WHERE split = 'test'"""
-    for k in range(1, ANALOG_MEMBERS + 1)) + ")", "splitdense")
+    f"""SELECT series_id, date, rainfall, split, {k} AS k, ln(1 + lag(rainfall, {7 * k}) OVER
+        (PARTITION BY series_id ORDER BY date)) AS value FROM splitdense"""
+    for k in range(1, ANALOG_MEMBERS + 1)) + ") WHERE split = 'test'", "splitdense")
 define("full_members", f"SELECT * FROM members WHERE n = {ANALOG_MEMBERS}", "members")
 KEY = "series_id:i date:d actual:f "
 S["o1_analog_ensemble"] = q(KEY + "member:i value:f", "SELECT * FROM full_members", "full_members")
@@ -30,7 +30,7 @@ define("bands", f"""
   SELECT *, greatest(exp(mean_log) - 1, 0) AS mean_mm,
     greatest(exp(mean_log + std_log) - exp(mean_log), 0) AS std_mm, month(date) AS month, month(date) IN (6,7,8,9) AS mon,
     CASE WHEN actual >= 0 AND actual < 0.1 THEN 'Dry' WHEN actual >= 0.1 AND actual < 5 THEN 'Light'
-         WHEN actual >= 5 AND actual < 20 THEN 'Moderate' WHEN actual >= 20 AND actual < 999 THEN 'Heavy+' END AS intensity
+         WHEN actual >= 5 AND actual < 20 THEN 'Moderate' WHEN actual >= 20 THEN 'Heavy+' END AS intensity
   FROM (SELECT series_id, date, max(actual) AS actual, avg(value) AS mean_log, stddev_pop(value) AS std_log, {_BOUNDS}
         FROM full_members GROUP BY 1, 2)""", "full_members")
 S["o2_ensemble_summary"] = q(KEY + "mean_log:f std_log:f mean_mm:f std_mm:f", "SELECT * FROM bands", "bands", digits=5)

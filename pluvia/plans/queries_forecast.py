@@ -17,7 +17,7 @@ MODELS = ["persistence", "climatology", "hybrid"]
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Long table of the three SQL-expressible models; the hybrid starts after its lookback."""
+    """Long table of the three SQL-expressible models, all over the same days."""
     wide = fc.carried_residual(fc.with_baselines(dense_split(spark, folder)))
     return fc.long_predictions(wide, MODELS)
 

@@ -1,15 +1,14 @@
-"""Session helpers: scratch space on the cluster's shared folder, bounded broadcasts."""
+"""Session helpers: scratch space on the cluster's shared folder, the package on workers."""
 
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_BYTES = 512 * 1024 * 1024
 
 # Session settings the plans were measured with. Wide projections are split once
 # a generated method outgrows what the JVM compiles, and small shuffles keep their
@@ -53,18 +52,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` if ``max_rows``, a proven bound on its rows, fits.
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for sessions started outside its folder.
 
-    The bound comes from the key (days of a calendar, days of a year, features,
-    models), never from a count of today's data. Beyond the limit the plan is
-    left to a shuffle join.
+    Needed where Python functions of the package run on workers that cannot import it;
+    harmless where they can.
     """
-    row_bytes = sum(_width(f.dataType.simpleString()) for f in df.schema.fields)
-    return F.broadcast(df) if max_rows * row_bytes <= BROADCAST_BYTES else df
-
-
-def _width(type_name: str) -> int:
-    if type_name.startswith(("array", "map", "struct")):
-        return 4096
-    return 40 if type_name == "string" else 8
+    folder = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{folder.name}", "zip", folder.parent, folder.name)
+    spark.sparkContext.addPyFile(archive)

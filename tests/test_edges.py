@@ -297,3 +297,36 @@ def test_mann_kendall_direction(panel):
     rows = {r.series_id: r for r in se.mann_kendall(panel({1: up, 2: up[::-1]})).collect()}
     assert (rows[1].verdict, rows[2].verdict) == ("increasing", "decreasing")
     assert rows[1].s == -rows[2].s
+
+
+def test_no_value_is_too_large_to_count(spark, panel):
+    from pluvia.operators import distribution, uncertainty
+    df = panel({1: [0.0, 1.0, 200.0, 300.0, 1500.0]})
+    assert distribution.histogram(df).agg(F.sum("n")).first()[0] == 5
+    ensemble = df.select("series_id", "date", F.col("rainfall").alias("actual"),
+                         F.array(F.lit(0.1), F.lit(0.5)).alias("members"))
+    assert uncertainty.crps_by_intensity(ensemble).agg(F.sum("n")).first()[0] == 5
+    assert uncertainty.width_histogram(uncertainty.interval_table(ensemble)).agg(F.sum("n")).first()[0] == 5
+
+
+def test_lags_reach_back_over_the_split(spark, panel):
+    from pluvia.operators import calendar, forecast, uncertainty
+    split = calendar.split_by_position(panel({1: [float(i % 9) for i in range(1000)], 2: [1.0] * 1000}))
+    days = split.where("split = 'test'").count()
+    assert uncertainty.analog_ensemble(split).count() == days
+    scored = forecast.long_predictions(
+        forecast.carried_residual(forecast.with_baselines(calendar.add_calendar(split))), ["climatology", "hybrid"])
+    assert {r["n"] for r in scored.where("split = 'test'").groupBy("model").agg(F.count("*").alias("n")).collect()} == {days}
+
+
+def test_centred_means_of_every_width(spark, panel):
+    from pluvia.functions.frames import add_centred_means
+    from pluvia.spec import DEFAULT
+    values = [None if i % 7 == 3 else float(i * i % 23) for i in range(60)]
+    plan = {f"m{n}": ("rainfall", n, max(1, n // 2)) for n in (1, 2, 3, 8, 31, 90)}
+    got = add_centred_means(panel({1: values}), plan, DEFAULT.ordered()).toPandas().sort_values("date")
+    for name, (_, n, least) in plan.items():
+        for i, mine in enumerate(got[name]):
+            frame = [v for v in values[max(0, i - n // 2): i + (n - 1) // 2 + 1] if v is not None]
+            want = sum(frame) / len(frame) if len(frame) >= least else None
+            assert (want is None and mine != mine) or mine == pytest.approx(want), (name, i)

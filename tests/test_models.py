@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from pluvia.operators import correlation as co
 from pluvia.operators import explain as ex
 from pluvia.operators import models as mo
 from pluvia.operators import selection as se
@@ -115,7 +116,9 @@ def test_seasonal_linear_prefers_the_true_order(spark, panel):
         y[t] = max(0.0, 0.5 + 0.3 * y[t - 1] + 0.4 * y[t - 2] + 0.3 * rng.normal())
     from pluvia.operators.calendar import split_by_position
     df = split_by_position(panel({1: np.expm1(y)}))
-    scored, table = mo.fit_seasonal_linear(df)
+    scored, table = mo.fit_seasonal_linear(df, exogenous=())
+    with pytest.raises(ValueError, match="absent"):
+        mo.fit_seasonal_linear(df)
     assert min(table, key=lambda e: e[1])[0] == 2
     hybrid = mo.hybrid_forecast(scored, df.withColumn("f", F.lag("rainfall").over(mo.DEFAULT.ordered())), ["f"], trees=2, depth=2)
     assert hybrid.where("predicted < 0").count() == 0 and hybrid.where("split = 'train'").count() == 0
@@ -128,6 +131,24 @@ def test_bootstrap_members(rows):
     assert ensemble.where(F.col("members")[0] != F.col("members")[1]).count() > 0
 
 
-@pytest.mark.parametrize("name", ["j2_correlation_filter", "k5_order_selection", "n1_shapley_values"])
-def test_row_only_queries_run(spark, name):
-    assert qm.Q[name](spark, "/root/testdata/sf0.001").count() >= 0
+def test_correlation_filter_drops_one_of_each_close_pair(spark):
+    folder = "/root/testdata/sf0.001"
+    dropped = {r.feature for r in qm.Q["j2_correlation_filter"](spark, folder).collect()}
+    assert dropped < set(qm.SCORED) and not dropped & set(se.PROTECTED)
+    rows = se.analysis_rows(qm.features(spark, folder), qm.SCORED)
+    left = [c for c in qm.SCORED if c not in dropped]
+    pairs = co.correlation_pairs(rows, left).where("r is not null").collect()
+    assert max(abs(p.r) for p in pairs) <= qm.CORR_LIMIT
+
+
+def test_order_selection_scores_every_order(spark):
+    rows = qm.Q["k5_order_selection"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.ar_order for r in rows) == [0, 1, 2] and all(np.isfinite(r.aic) for r in rows)
+
+
+def test_shapley_values_add_up(spark):
+    got = qm.Q["n1_shapley_values"](spark, "/root/testdata/sf0.001").groupBy("series_id", "date").agg(
+        F.sum("phi").alias("phi"), F.max("prediction").alias("f"), F.max("base").alias("base"), F.count("*").alias("n"))
+    assert got.count() > 0
+    assert got.where(F.abs(F.col("phi") - (F.col("f") - F.col("base"))) > 1e-6).count() == 0
+    assert got.where(F.col("n") != len(qm.EXPLAINED)).count() == 0
