@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pluvia.operators.features import LEAKAGE, NEVER_SCALED
 from pluvia.plans.sqlkit import define, q
 from pluvia.spec import COVARIATE_LAGS, COVARIATE_ROLLS, COVARIATES, TARGET_LAGS, TARGET_ROLLS
 
@@ -219,24 +220,24 @@ _INT = {"quarter", "week_of_year", "is_weekend", "season_code", "days_from_monso
 S["d13_feature_table"] = q(
     KEY + "split:s rainfall:f " + " ".join(f"{c}:{'i' if c in _INT else 'f'}" for c in FEATURES),
     "SELECT * FROM features", "features", digits=4)
-SCALED_SAMPLE = ("tmax", "rh", "rainfall_lag1", "rh_lag7", "rainfall_roll_mean_7", "year_frac",
-                 "month_sin", "soil_moisture_gradient", "temp_range", "days_from_monsoon_onset")
+# every column of the table but targets, flags and calendar numbers
+SCALED = tuple(c for c in FEATURES if c not in NEVER_SCALED)
 define("scaler", " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, avg({c}) AS mean,
         CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS std
-        FROM features WHERE split = 'train'""" for c in SCALED_SAMPLE), "features")
+        FROM features WHERE split = 'train'""" for c in SCALED), "features")
 S["d14_scaler_parameters"] = q("feature:s mean:f std:f", "SELECT * FROM scaler", "scaler")
 S["a5_scaler_json"] = S["d14_scaler_parameters"]
 S["d14_standardised"] = q(
-    KEY + "split:s " + _types(SCALED_SAMPLE),
+    KEY + "split:s " + _types(SCALED),
     "SELECT f.series_id, f.date, f.split, " + ", ".join(
-        f"(f.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in SCALED_SAMPLE)
+        f"(f.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in SCALED)
     + " FROM features f CROSS JOIN (SELECT " + ", ".join(
         f"max(mean) FILTER (feature = '{c}') AS {c}_m, max(std) FILTER (feature = '{c}') AS {c}_s"
-        for c in SCALED_SAMPLE) + " FROM scaler) s", "features", "scaler", digits=4)
+        for c in SCALED) + " FROM scaler) s", "features", "scaler", digits=4)
 S["d15_model_input_sets"] = q(
     "split:s n_rows:i n_columns:i sum_target:f sum_log_target:f n_wet:i sum_scaled:f",
-    """SELECT split, count(*) AS n_rows, 15 AS n_columns, sum(rainfall) AS sum_target,
+    f"""SELECT split, count(*) AS n_rows, {len([c for c in FEATURES if c not in LEAKAGE]) + 6} AS n_columns, sum(rainfall) AS sum_target,
          sum(log_rainfall) AS sum_log_target, sum(rain_occurrence) AS n_wet,
          sum(abs((rainfall_lag1 - m) / s)) AS sum_scaled
        FROM features CROSS JOIN (SELECT mean AS m, std AS s FROM scaler WHERE feature = 'rainfall_lag1')

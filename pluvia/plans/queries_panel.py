@@ -11,7 +11,7 @@ from pluvia.operators import calendar as cal
 from pluvia.operators import features as ft
 from pluvia.operators import validate as va
 from pluvia.plans.settle import settle
-from pluvia.session import scratch_path
+from pluvia.session import materialise, scratch_path
 from pluvia.sources import panel as pn
 from pluvia.sources import tables as tb
 from pluvia.spec import DEFAULT
@@ -22,10 +22,6 @@ Q: dict[str, Query] = {}
 # Tighter than the physical bounds, which no test value breaks.
 TIGHT_BOUNDS = {"rainfall": (0.0, 45.0), "rh": (0.0, 70.0), "cloud": (10.0, 100.0)}
 RAW_MEASURES = ["rainfall", "rh", "cloud"]
-SCALED_SAMPLE = [
-    "tmax", "rh", "rainfall_lag1", "rh_lag7", "rainfall_roll_mean_7", "year_frac", "month_sin",
-    "soil_moisture_gradient", "temp_range", "days_from_monsoon_onset",
-]
 
 
 def query(name: str, digits: int = 6):
@@ -71,7 +67,8 @@ def _(spark, folder):
 @query("a5_scaler_json")
 def _(spark, folder):
     path = scratch_path(spark, "scaler")
-    tb.write_scaler(ft.scaler_parameters(features(spark, folder), SCALED_SAMPLE), path, "ml")
+    df = features(spark, folder)
+    tb.write_scaler(ft.scaler_parameters(df, ft.feature_names(df)), path, "ml")
     return tb.read_scaler(spark, path)
 
 
@@ -270,19 +267,22 @@ def _(spark, folder):
 
 @query("d14_scaler_parameters")
 def _(spark, folder):
-    return ft.scaler_parameters(features(spark, folder), SCALED_SAMPLE)
+    df = features(spark, folder)
+    return ft.scaler_parameters(df, ft.feature_names(df))
 
 
 @query("d14_standardised", digits=4)
 def _(spark, folder):
-    df = features(spark, folder)
-    scaled = ft.standardise(df, ft.scaler_parameters(df, SCALED_SAMPLE), SCALED_SAMPLE)
-    return scaled.select(*DEFAULT.key, "split", *SCALED_SAMPLE)
+    df = materialise(features(spark, folder), "features")  # read for the parameters and again for the rows
+    names = ft.scalable(ft.feature_names(df))
+    scaled = ft.standardise(df, ft.scaler_parameters(df, names), names)
+    return scaled.select(*DEFAULT.key, "split", *names)
 
 
 @query("d15_model_input_sets", digits=3)
 def _(spark, folder):
-    inputs = ft.model_inputs(features(spark, folder), [*SCALED_SAMPLE[:9]])
+    df = materialise(features(spark, folder), "features")
+    inputs = ft.model_inputs(df, ft.feature_names(df))
     return inputs.groupBy("split").agg(
         F.count("*").alias("n_rows"), F.lit(len(inputs.columns)).alias("n_columns"),
         F.sum("rainfall").alias("sum_target"), F.sum("log_rainfall").alias("sum_log_target"),

@@ -31,7 +31,8 @@ def q(columns: str, body: str, *needs: str, digits: int = 6) -> str:
             "d": f"CAST({name} AS VARCHAR) AS {name}",
             "s": f"CAST({name} AS VARCHAR) AS {name}",
         }[kind])
-    ctes = ",\n".join(f"{n} AS ({s})" for n, s in seen.items())
+    # the wide feature table is read by several parts of a query: computed once
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'features' else ''}({s})" for n, s in seen.items())
     prefix = f"WITH {ctes}\n" if ctes else ""
     return f"{prefix}SELECT {', '.join(parts)}\nFROM ({body}) AS result"
 
