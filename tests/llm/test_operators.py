@@ -123,6 +123,13 @@ def test_repeated_passages_finds_planted_ones(spark):
     assert all(len(left[i].split()) <= 156 for i in range(3, 30))
 
 
+def test_repeated_words_are_passages_too(spark):
+    rows = [(1, "The " * 80 + "end one."), (2, text_of(random.Random(1), 30) + " The" * 70), (3, "the " * 40), (4, "a b c " * 30), (5, "a b c " * 25)]
+    got = collinear_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(zip(got["doc_id"], got["src_doc_id"], strict=True)) == {(2, 1), (5, 4)}
+    assert got.groupby("doc_id")["n_words"].max().to_dict() == {2: 70, 5: 75}
+
+
 def test_chain_equals_quadratic_search():
     rng = random.Random(2)
     for _ in range(60):
