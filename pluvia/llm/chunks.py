@@ -6,7 +6,7 @@ character, and at a letter after that newline. So a text may be cut there and th
 encoded one by one. Natural text repeats its words: a bounded table of encoded parts
 saves most of the work and changes no result.
 
-Cutting, hashing, looking up and joining are array operations over a few megabytes of
+Cutting, hashing, looking up and joining are array operations over a megabyte of
 text at a time; only parts that are not in the table become Python strings. Parts are told
 apart by 64-bit hashes that include their lengths.
 """
@@ -19,8 +19,8 @@ import numpy as np
 
 from pluvia.llm.words import byte_sums, mixed
 
-BATCH = 4 << 20
-ENTRIES = 400_000
+BATCH = 1 << 20
+ENTRIES = 300_000
 LONGEST = 48
 
 
@@ -139,9 +139,8 @@ class Memory:
             self.pool = np.concatenate([self.pool, *found]).astype(np.uint32, copy=False)
             # long parts are seldom met again: they are the first to be dropped
             used = np.where(ends[new] - starts[new] > LONGEST, -1, self.clock)
-            order = np.argsort(np.concatenate([self.hashes, unique[new]]), kind="stable")
-            for name, more in (("hashes", unique[new]), ("starts", begin), ("sizes", sizes), ("used", used)):
-                setattr(self, name, np.concatenate([getattr(self, name), more])[order])
+            for name, more in (("starts", begin), ("sizes", sizes), ("used", used), ("hashes", unique[new])):
+                setattr(self, name, np.insert(getattr(self, name), at[new], more))
             at = np.searchsorted(self.hashes, unique)
         self.used[at] = np.where(self.used[at] < 0, -1, self.clock)
         return at

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pluvia.llm.chunks import Memory
 
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 SHORT = 48
 
 

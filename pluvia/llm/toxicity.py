@@ -43,25 +43,16 @@ IDENTITY_GROUPS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
 WORD = re.compile(r"[^\W\d_]+")
-MEMORY = 200_000
+PREFIXES = (4, 5, 6)
 
 
-class Features:
-    """Names of the features of texts, remembered by word."""
+def features_of(word: str) -> tuple[str, ...]:
+    """The word and its first letters."""
+    return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n))
 
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def of_word(self, word: str) -> tuple[str, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            found = self.known[word] = (word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n))
-        return found
-
-    def of_words(self, words: Iterable[str]) -> set[str]:
-        return {f for w in words for f in self.of_word(w)}
+def features_of_all(words: Iterable[str]) -> set[str]:
+    return {f for w in words for f in features_of(w)}
 
 
 def words_of(text: str | None) -> set[str]:
@@ -78,14 +69,14 @@ def partners(groups: Sequence[Sequence[str]]) -> dict[str, str]:
     return {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g) if len(g) > 1}
 
 
-def chosen_features(rows: list[set[str]], labels: np.ndarray, least_chi2: float, max_features: int) -> list[str]:
+def chosen_features(rows: Iterable[set[str]], labels: np.ndarray, least_chi2: float, max_features: int) -> list[str]:
     """Features whose presence goes with the label, the strongest first."""
     all_, toxic = Counter(), Counter()
     for features, label in zip(rows, labels, strict=True):
         all_.update(features)
         if label:
             toxic.update(features)
-    n, n1 = len(rows), int(labels.sum())
+    n, n1 = len(labels), int(labels.sum())
     scored = []
     for f, c in all_.items():
         if c < 2:
@@ -114,25 +105,28 @@ class Sparse:
         return np.bincount(self.flat, g[self.owner], self.width)
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS,
+def fit(texts: Sequence[str | None], labels: np.ndarray, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS,
         swap_penalty: float = 5.0, ridge: float = 1e-4, rounds: int = 300,
         least_chi2: float = 12.0, max_features: int = 4096) -> tuple[list[str], np.ndarray, float]:
-    """(features, weights, bias) of the word sets of labelled texts."""
+    """(features, weights, bias) of labelled texts; only chosen features are held for all of them."""
     n1, n = int(labels.sum()), len(labels)
     if n1 == 0 or n1 == n:
         share = min(max(n1 / n if n else 0.0, 1e-9), 1 - 1e-9)
         return [], np.zeros(0), float(np.log(share / (1 - share)))
-    own, partner = Features(), partners(groups)
-    rows = [own.of_words(t) for t in texts]
-    names = chosen_features(rows, labels, least_chi2, max_features)
+    partner = partners(groups)
+    names = chosen_features((features_of_all(words_of(t)) for t in texts), labels, least_chi2, max_features)
     number = {f: i for i, f in enumerate(names)}
 
     def numbers(features: set[str]) -> list[int]:
         return sorted(number[f] for f in features if f in number)
 
-    x = Sparse([numbers(r) for r in rows], len(names))
-    twins = [(numbers(r), numbers(own.of_words(swapped(t, partner))))
-             for r, t in zip(rows, texts, strict=True) if not t.isdisjoint(partner)]
+    rows, twins = [], []
+    for text in texts:
+        words = words_of(text)
+        rows.append(numbers(features_of_all(words)))
+        if not words.isdisjoint(partner):
+            twins.append((rows[-1], numbers(features_of_all(swapped(words, partner)))))
+    x = Sparse(rows, len(names))
     left, right = Sparse([a for a, _ in twins], len(names)), Sparse([b for _, b in twins], len(names))
     w, bias = np.zeros(len(names)), float(np.log(n1 / (n - n1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -169,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, **options) -
 
     def fitted(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")  # the sum's order, and so the model, is fixed
-        names, weights, bias = fit([words_of(t) for t in frame["text"]], frame["toxic"].to_numpy(float), **options)
+        names, weights, bias = fit(frame["text"].tolist(), frame["toxic"].to_numpy(float), **options)
         return pd.DataFrame({"features": [names], "weights": [weights.tolist()], "bias": [bias]})
 
     return materialise(rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fitted, MODEL), "toxic-model")
@@ -178,21 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = 8192, **options) -
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
-        totals: dict[str, tuple[tuple[str, float], ...]] = {}
-        own = Features()
+        whole = frozenset(f for f in weights if f[-1] != "*")
+        four, five, six = (frozenset(f[:-1] for f in weights if f[-1] == "*" and len(f) == n + 1) for n in PREFIXES)
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
-                hit: dict[str, float] = {}
-                for word in words_of(text):
-                    found = totals.get(word)
-                    if found is None:
-                        if len(totals) >= MEMORY:
-                            totals.clear()
-                        found = totals[word] = tuple((f, weights[f]) for f in own.of_word(word) if f in weights)
-                    if found:
-                        hit.update(found)
-                scores.append(1 / (1 + np.exp(-np.clip(bias + sum(hit[f] for f in sorted(hit)), -40, 40))))
+                # few words have a feature with a weight, and only those are looked at closely
+                near = [w for w in words_of(text) if w in whole or w[:4] in four or w[:5] in five or w[:6] in six]
+                hit = {f for w in near for f in features_of(w) if f in weights}
+                scores.append(1 / (1 + np.exp(-np.clip(bias + sum(weights[f] for f in sorted(hit)), -40, 40))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run

@@ -264,15 +264,14 @@ def test_swap_penalty_frees_neutral_mentions():
         base = {rng.choice("abcdefgh") * rng.randrange(3, 6) for _ in range(12)}
         toxic = i % 4 == 0
         named = rng.random() < (0.9 if toxic else 0.2)
-        texts.append(base | ({"awful", "nasty"} if toxic and rng.random() < 0.9 else set()) | ({"women"} if named else set()))
+        texts.append(" ".join(sorted(base | ({"awful", "nasty"} if toxic and rng.random() < 0.9 else set()) | ({"women"} if named else set()))))
         labels.append(float(toxic))
     labels = np.array(labels)
 
     def gap(penalty):
         names, w, _ = toxicity.fit(texts, labels, swap_penalty=penalty)
         weight = dict(zip(names, w, strict=True))
-        own = toxicity.Features()
-        return sum(weight.get(f, 0) for f in own.of_word("women")) - sum(weight.get(f, 0) for f in own.of_word("men"))
+        return sum(weight.get(f, 0) for f in toxicity.features_of("women")) - sum(weight.get(f, 0) for f in toxicity.features_of("men"))
 
     assert gap(0.0) > 0.5 and abs(gap(50.0)) < 0.2 * gap(0.0)
 
