@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvia.llm.batches import small_batches
 from pluvia.llm.chunks import Memory
 from pluvia.llm.words import mixed
 from pluvia.session import materialise, scratch_path
@@ -351,7 +352,7 @@ def write(docs: DataFrame, path: str, end_id: int, uri: str | None = None) -> St
     spark = docs.sparkSession
     uri = uri or scratch_path(spark, "id-store")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     entries = materialise(
         texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
         .mapInArrow(_write_shard(uri, path, end_id), ENTRY), "id-entries")

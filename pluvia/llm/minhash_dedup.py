@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvia.llm.batches import small_batches
 from pluvia.llm.components import components
 from pluvia.llm.words import mixed, odd_numbers, runs, word_hashes
 from pluvia.session import materialise
@@ -119,7 +120,7 @@ def _set_batch(ids: list, sets: list) -> pa.RecordBatch:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:

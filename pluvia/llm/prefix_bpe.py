@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.llm.batches import small_batches
 from pluvia.llm.chunks import Memory
 
 REMEMBERED = 250_000
@@ -216,7 +217,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     before encoding. The ids are hashed in decimal, joined by single spaces; the second
     hash is of the bytes that decoding the ids gives.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _digests(path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

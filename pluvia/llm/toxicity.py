@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.llm.batches import small_batches
 from pluvia.session import materialise
 
 # Terms that name groups of people, each list exchangeable.
@@ -188,7 +189,7 @@ def _score(model):
 
 def score(docs: DataFrame, model: DataFrame, cut: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     row = model.first()
     weights = dict(zip(row["features"], row["weights"], strict=True)) if row else {}
     shared = spark.sparkContext.broadcast((weights, row["bias"] if row else -40.0))  # at most max_features numbers
@@ -205,7 +206,7 @@ def accepted(docs: DataFrame, model: DataFrame, cut: float = 0.3) -> DataFrame:
     """
     row = model.first()
     weights = dict(zip(row["features"], row["weights"], strict=True)) if row else {}
-    shared = docs.sparkSession.sparkContext.broadcast((weights, row["bias"] if row else -40.0))
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast((weights, row["bias"] if row else -40.0))
     inner = _score(shared)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
