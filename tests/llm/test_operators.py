@@ -130,6 +130,29 @@ def test_repeated_words_are_passages_too(spark):
     assert got.groupby("doc_id")["n_words"].max().to_dict() == {2: 70, 5: 75}
 
 
+def test_passages_whose_parts_come_first_elsewhere(spark):
+    rng = random.Random(11)
+    p = text_of(rng, 85).split()
+    lines = [text_of(rng, 15) for _ in range(4)]
+    texts = {1: p[:45], 2: p[40:], 5: p, 7: p[:45], 8: p[40:], 9: p}
+    rows = [(i, " ".join([text_of(rng, 40), *x, text_of(rng, 40)])) for i, x in texts.items()]
+    rows += [(20 + i, f"{text_of(rng, 40)} {x} {text_of(rng, 40)}") for i, x in enumerate(lines * 3)]
+    rows += [(i, " ".join([text_of(rng, 40), *lines, text_of(rng, 40)])) for i in (50, 60, 70)]
+    got = collinear_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    pairs = set(zip(got["doc_id"], got["src_doc_id"], strict=True))
+    assert {(9, 5), (60, 50)} <= pairs <= {(9, 5), (60, 50), (70, 50), (70, 60)} and set(got["doc_id"]) == {9, 60, 70}
+    assert got.groupby("doc_id")["n_words"].max().to_dict() == {9: 85, 60: 60, 70: 60}
+
+
+def test_key_places_hit_every_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        places = np.flatnonzero(rng.random(300) < 0.5)
+        ranks = rng.integers(2, 9, len(places))
+        keys = collinear_dedup.key_places(places, ranks, 4, 24, 40)
+        assert not collinear_dedup.open_places(places[~keys], [], 4, 24, 40).any() and keys.any()
+
+
 def test_chain_equals_quadratic_search():
     rng = random.Random(2)
     for _ in range(60):
