@@ -144,6 +144,45 @@ def test_passages_whose_parts_come_first_elsewhere(spark):
     assert got.groupby("doc_id")["n_words"].max().to_dict() == {9: 85, 60: 60, 70: 60}
 
 
+def has_passage(equal, n=50, share=0.8):
+    """Whether n words and more from an equal word to an equal word are equal enough, by trying all."""
+    upto = np.concatenate([[0], np.cumsum(equal)])
+    return any(equal[i] and equal[j - 1] and upto[j] - upto[i] >= share * (j - i)
+               for i in range(len(equal)) for j in range(i + n, len(equal) + 1))
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85, 0.9])
+def test_recall_of_changed_passages(spark, share):
+    rng = random.Random(int(share * 100))
+    rows, want, n_docs = [], set(), 120
+    for i in range(n_docs):
+        p = text_of(rng, rng.randrange(50, 71)).split()
+        n = len(p)
+        changed = range(5, n, 6) if i < 10 else rng.sample(range(n), int(n * (1 - share) + 1e-9))
+        q = [f"new{i}x{j}" if j in changed else w for j, w in enumerate(p)]
+        rows += [(d, " ".join([text_of(rng, 40), *x, text_of(rng, 40)])) for d, x in ((i, p), (1000 + i, q))]
+        if has_passage([x == y for x, y in zip(p, q, strict=True)]):
+            want.add(1000 + i)
+    got = collinear_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    found = set(got["doc_id"])
+    print(f"recall at {share}: {len(want & found)} of {len(want)}; every sixth word: "
+          f"{len([d for d in want & found if d < 1010])} of {len([d for d in want if d < 1010])}")
+    assert len(want) > n_docs / 4 and len(want & found) >= 0.95 * len(want)
+    assert {d for d in want if d < 1010} <= found
+
+
+def test_rows_of_matches_chain_like_single_ones():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        keep = np.flatnonzero(rng.random(200) < 0.8)
+        shift = np.cumsum(rng.random(len(keep)) < 0.05) * 3
+        got = collinear_dedup.passages_of(np.full(len(keep), 7), keep, keep + shift, 4, 24, 2)
+        a, b = keep.tolist(), (keep + shift).tolist()
+        best = collinear_dedup.chain(a, b)[0]
+        assert (got[0]["start"], got[0]["stop"], got[0]["seeds"]) == (a[best[0]], a[best[-1]] + 4, len(best))
+        assert (got[0]["src_start"], got[0]["src_stop"]) == (b[best[0]], b[best[-1]] + 4)
+
+
 def test_key_places_hit_every_stretch():
     rng = np.random.default_rng(3)
     for _ in range(50):
