@@ -183,6 +183,22 @@ def test_rows_of_matches_chain_like_single_ones():
         assert (got[0]["src_start"], got[0]["src_stop"]) == (b[best[0]], b[best[-1]] + 4)
 
 
+def test_other_blanks_are_no_word_ends(spark):
+    rng = random.Random(12)
+    p = text_of(rng, 60).split()
+    for i, blank in zip(range(3, 60, 5), "\u00a0\u3000\x85\u2028\x1c\x1f" * 2):
+        p[i] = f"{p[i]}{blank}!"
+    rest = text_of(rng, 40)
+    rows = [(1, " ".join([text_of(rng, 20), *p, text_of(rng, 20)])), (2, " ".join([text_of(rng, 20), *p, rest])),
+            (3, " ".join([text_of(rng, 20), *p[:45], text_of(rng, 40)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    passages = collinear_dedup.repeated_passages(df)
+    got = passages.toPandas()
+    assert got[["doc_id", "src_doc_id", "start_word", "stop_word", "n_words"]].values.tolist() == [[2, 1, 20, 80, 60]]
+    left = rows_of(collinear_dedup.without_passages(df, passages)).set_index("doc_id")["text"]
+    assert left[2].endswith(rest) and len(WORD.findall(left[2])) == 60 and left[3] == rows[2][1]
+
+
 def test_key_places_hit_every_stretch():
     rng = np.random.default_rng(3)
     for _ in range(50):
