@@ -8,7 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.functions.quantiles import exact_quantiles
+from pluvia.functions.quantiles import exact_quantiles, quantile_columns
+from pluvia.session import materialise
 from pluvia.spec import DEFAULT, EXTREME_EVENT, SeriesSpec
 
 # Grid points, curves, shown features; about so many background rows a bucket.
@@ -218,22 +219,23 @@ def partial_dependence(
 
 def individual_curves(
     rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor,
-    n_rows: int = ICE_ROWS, points: int = GRID_POINTS, spec: SeriesSpec = DEFAULT,
+    n_rows: int | None = ICE_ROWS, points: int = GRID_POINTS, spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
-    """The curves of ``n_rows`` hash-sampled rows over the grid of all rows."""
+    """The curves of ``n_rows`` hash-sampled rows, or of all (None), over the grid of all rows."""
     limits = grid_limits(rows, swept)
-    some = rows.orderBy(F.xxhash64(*spec.key, F.lit(SEED)), *spec.key).limit(n_rows)
+    some = rows if n_rows is None else rows.orderBy(F.xxhash64(*spec.key, F.lit(SEED)), *spec.key).limit(n_rows)
     grid = _swept(some, features, swept, limits, points, *spec.key)
     return predict(grid).select(*spec.key, "feature", "grid_idx", "grid_value", "prediction")
 
 
 def curve_band(curves: DataFrame) -> DataFrame:
-    """5 % and 95 % quantile of the sampled curves at each grid point."""
-    q = F.percentile("prediction", [0.05, 0.95])
-    return curves.groupBy("feature", "grid_idx").agg(
-        F.max("grid_value").alias("grid_value"), F.count("*").alias("n"), q.alias("q")).select(
-        "feature", "grid_idx", "grid_value", "n",
-        F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    """Exact 5 % and 95 % quantile of the curves at each grid point, whatever their number."""
+    point = ["feature", "grid_idx"]
+    held = materialise(curves.select(*point, "grid_value", "prediction"), "curves")
+    q = exact_quantiles(held, "prediction", [0.05, 0.95], point, GRID_POINTS * TOP_FEATURES)
+    counts = held.groupBy(*point).agg(F.max("grid_value").alias("grid_value"), F.count("*").alias("n"))
+    return counts.join(quantile_columns(q, point, {0.05: "low", 0.95: "high"}), point).select(
+        *point, "grid_value", "n", "low", "high")
 
 
 def partial_dependence_2d(

@@ -222,9 +222,13 @@ def n7(spark, folder):
     return ex.partial_dependence(test, EXPLAINED, EXPLAINED, ex.model_predictor(model))
 
 
-def curves(spark, folder):
+def curves(spark, folder, n_rows=ex.ICE_ROWS):
     model, _, test = wet_model(spark, folder)
-    return ex.individual_curves(test, EXPLAINED, EXPLAINED, ex.model_predictor(model))
+    return ex.individual_curves(test, EXPLAINED, EXPLAINED, ex.model_predictor(model), n_rows)
+
+
+def band(spark, folder):
+    return ex.curve_band(curves(spark, folder, None))
 
 
 def n9(spark, folder):
@@ -261,7 +265,7 @@ Q = {
     "n7_linear_dependence": _plain(n7_linear, 5),
     "n7_partial_dependence": _plain(n7),
     "n8_individual_curves": _plain(curves),
-    "n8_curve_band": _plain(lambda s, f: ex.curve_band(curves(s, f))),
+    "n8_curve_band": _plain(band),
     "n9_dependence_2d": _plain(n9),
     "o1_bootstrap_ensemble": _plain(o1_bootstrap),
 }

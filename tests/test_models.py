@@ -152,3 +152,16 @@ def test_shapley_values_add_up(spark):
     assert got.count() > 0
     assert got.where(F.abs(F.col("phi") - (F.col("f") - F.col("base"))) > 1e-5).count() == 0  # rounded parts
     assert got.where(F.col("n") != len(qm.EXPLAINED)).count() == 0
+
+
+def test_registered_band_covers_all_wet_test_rows(spark):
+    from pluvia.plans import queries_models as qm
+
+    folder = "/root/testdata/sf0.01"
+    model, _, rows = qm.wet_model(spark, folder)
+    n = rows.count()
+    got = qm.band(spark, folder).toPandas()
+    assert n > ex.ICE_ROWS and (got["n"] == n).all()
+    every = ex.individual_curves(rows, qm.EXPLAINED, ["rh"], ex.model_predictor(model), None).where("grid_idx = 7").toPandas()["prediction"]
+    one = got[(got["feature"] == "rh") & (got["grid_idx"] == 7)].iloc[0]
+    assert np.allclose([one["low"], one["high"]], np.quantile(every, [0.05, 0.95]))
