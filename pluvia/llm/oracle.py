@@ -136,9 +136,87 @@ scored as (
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10"""
 
+# Fixed value: the polynomial of CRC-32, bits reversed.
+OP12 = """
+with recursive crc_table as (
+  select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)
+              order by b) as t from (select range::bigint as b from range(256))),
+checked as (
+  select d.*, xor(list_reduce(list_concat([4294967295::bigint], [ascii(c)::bigint for c in string_split(doc_id::varchar, '')]),
+                              lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 7 = 0 as chosen
+  from documents d, crc_table),
+told as (
+  select doc_id, case when lang is null then '' else '=' || lang end as tree, chosen,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') as head,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') as tail from checked),
+leaves as (
+  select doc_id, tree, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as digest,
+         case when chosen then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as bad from told),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as idx, count(*) over (partition by tree) as size
+  from leaves),
+nodes as (
+  select 0 as level, tree, idx, size, digest from placed
+  union all
+  select level + 1, tree, idx // 2, any_value((size + 1) // 2), sha256(string_agg(digest, '' order by idx))
+  from nodes where size > 1 group by level, tree, idx // 2),
+subroots as (
+  select tree, digest as subroot, row_number() over (order by tree) - 1 as idx, count(*) over () as size from nodes where size = 1),
+tops as (
+  select 0 as level, idx, size, subroot as digest from subroots
+  union all
+  select level + 1, idx // 2, any_value((size + 1) // 2), sha256(string_agg(digest, '' order by idx))
+  from tops where size > 1 group by level, idx // 2),
+others as (
+  select p.doc_id, p.idx as place, n.level, n.digest from placed p
+  join nodes n on n.tree = p.tree and n.size > 1 and n.idx = xor(p.idx >> n.level, 1)
+  union all
+  select p.doc_id, p.idx, 1000 + t.level, t.digest from placed p join subroots s using (tree)
+  join tops t on t.size > 1 and t.idx = xor(s.idx >> t.level, 1)),
+proofs as (select doc_id, place, sha256(string_agg(digest, '' order by level)) as proof_sha256 from others group by 1, 2),
+inner_fold as (
+  select doc_id, tree, idx as place, 0 as level, idx, size, coalesce(bad, digest) as digest from placed
+  union all
+  select f.doc_id, f.tree, f.place, f.level + 1, f.idx // 2, (f.size + 1) // 2,
+         sha256(case when f.idx % 2 = 0 then f.digest || coalesce(o.digest, '') else o.digest || f.digest end)
+  from inner_fold f left join nodes o on o.tree = f.tree and o.level = f.level and o.idx = xor(f.idx, 1) where f.size > 1),
+fold as (
+  select i.doc_id, i.place, i.tree, 0 as level, s.idx, s.size, i.digest from inner_fold i join subroots s using (tree) where i.size = 1
+  union all
+  select f.doc_id, f.place, f.tree, f.level + 1, f.idx // 2, (f.size + 1) // 2,
+         sha256(case when f.idx % 2 = 0 then f.digest || coalesce(o.digest, '') else o.digest || f.digest end)
+  from fold f left join tops o on o.level = f.level and o.idx = xor(f.idx, 1) where f.size > 1)
+select p.doc_id, p.digest as leaf, s.subroot, r.digest as root, coalesce(q.proof_sha256, sha256('')) as proof_sha256,
+       f.digest as folded_root, f.digest = r.digest as verified
+from placed p join subroots s using (tree) join fold f on f.size = 1 and f.tree = p.tree and f.place = p.idx
+join tops r on r.size = 1
+left join proofs q on q.doc_id is not distinct from p.doc_id and q.place = p.idx"""
+
+OP13 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [floor(256 * x::double) for x in embedding] as parts from embeddings
+  where embedding is not null and vec_id is not null and label is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scored as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.parts, c.parts)::bigint as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id,
+       row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not same
+  and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3"""
+
 S = {
     "op2_url_reputation": OP2,
     "op4_order_sampling": OP4,
     "op6_extendible_sharding": OP6,
     "op9_segment_topk": OP9,
+    "op12_merkle_manifest": OP12,
+    "op13_bond_negatives": OP13,
 }

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.llm import (
-    collinear_dedup, extendible_sharding, id_store, minhash_dedup, order_sampling, prefix_bpe, robust_quality, segment_topk,
-    toxicity, url_reputation,
+    bond_negatives, collinear_dedup, extendible_sharding, id_store, merkle_manifest, minhash_dedup, order_sampling, prefix_bpe,
+    robust_quality, segment_topk, syncmers, toxicity, url_reputation,
 )
 from pluvia.llm.url_reputation import Rule
 
@@ -70,6 +70,20 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return robust_quality.judge(table(spark, folder, "documents"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compare(table(spark, folder, "documents"))
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.verified(merkle_manifest.build(table(spark, folder, "documents")))
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh label is wrong, as the query's contract has it."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond_negatives.mine(table(spark, folder, "embeddings").withColumn("label", wrong), F.col("vec_id") % 50 == 0)
+
+
 Q = {
     "op1_collinear_dedup": op1,
     "op2_url_reputation": op2,
@@ -81,4 +95,7 @@ Q = {
     "op8_id_store": op8,
     "op9_segment_topk": op9,
     "op10_robust_quality": op10,
+    "op11_closed_syncmers": op11,
+    "op12_merkle_manifest": op12,
+    "op13_bond_negatives": op13,
 }
