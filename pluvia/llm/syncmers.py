@@ -14,7 +14,8 @@ both are counted beside that.
 DataFrame functions only, whole texts. Minima over the 17 inner runs come from four
 doublings, so work grows with the length and not with k. Texts are worked off in pieces
 of ``PIECE`` code points that overlap by k - 1, which changes nothing: anchors are
-context-free.
+context-free. For the same reason an edited text keeps the anchors of its parts, and only
+the runs over the joint are looked at anew.
 
 A document's successor in descending order of ids stands in the next row of a range of
 ids. Rows are dealt by range (``blocks`` of them, hashed over the tasks), one exchange of
@@ -40,7 +41,7 @@ K, S = 24, 8
 PIECE = 1 << 16
 LOW = 0xFFFFFFFF
 BLOCKS = 4096
-OVERSAMPLED = 4
+OVERSAMPLED = 16
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,9 +83,8 @@ def anchor(place: Column, code: Column) -> Column:
     return F.shiftleft(place.cast("long"), 32).bitwiseOR(F.xxhash64(code).bitwiseAND(F.lit(LOW)))
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The anchors of a text, in its order, as ``place * 2^32 + hash``."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
+def chosen(text: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of a text, in its order, as ``place * 2^32 + hash``."""
     pieces = F.sequence(F.lit(0), F.greatest(F.char_length(text) - k, F.lit(0)), F.lit(PIECE))
 
     def of_piece(start: Column) -> Column:
@@ -92,9 +92,38 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         return bound(code, lambda c: F.transform(_chosen(c, k, s), lambda at: anchor(
             F.shiftright(at, 2) + start, F.substring(c, at, F.lit(4 * k)))))
 
+    return F.flatten(F.transform(pieces, of_piece))
+
+
+def or_whole(found: Column, text: Column) -> Column:
+    """``found``, or where no run was chosen the whole text as the one anchor, if it has any."""
     whole = F.when(F.char_length(text) > 0, F.array(anchor(F.lit(0), F.encode(text, "UTF-32")))).otherwise(
         F.array().cast("array<bigint>"))
-    return bound(F.flatten(F.transform(pieces, of_piece)), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+    return bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """The anchors of a text, in its order."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return or_whole(chosen(text, k, s), text)
+
+
+def joined(left: Column, cut: Column, right: Column, text: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of ``text``: the first ``cut`` code points of one text, then the
+    start of another, whose closed syncmers are ``left`` and ``right``.
+
+    Being context-free, those that lie in one part are the parts' own; only the runs over
+    the joint are looked at.
+    """
+    def at(cut: Column) -> Column:  # lengths are computed once, not for each anchor
+        shifted = lambda found, by: bound(F.shiftleft(by.cast("long"), 32), lambda b: F.transform(found, lambda x: x + b))
+        start = F.greatest(cut - (k - 1), F.lit(0))
+        over = F.substring(text, start + 1, cut - start + k - 1)
+        first = bound(cut - k, lambda last: F.filter(left, lambda x: F.shiftright(x, 32) <= last))
+        rest = bound(F.char_length(text) - cut - k, lambda last: F.filter(right, lambda x: F.shiftright(x, 32) <= last))
+        return F.concat(first, shifted(bound(over, lambda t: chosen(t, k, s)), start), shifted(rest, cut))
+
+    return bound(cut, at)
 
 
 def hashes(found: Column) -> Column:
@@ -139,7 +168,7 @@ def with_successor(docs: DataFrame, value: Callable[[Column], Column], blocks: i
     ``value`` is computed once for each row.
     """
     spark = docs.sparkSession
-    blocks = min(BLOCKS, blocks or 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = min(BLOCKS, blocks or 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), order_key().alias("key"))
     size = keyed.agg(F.count("*").alias("n"), F.min("key").alias("first")).first()
     share = min(1.0, OVERSAMPLED * blocks / max(1, size["n"]))
@@ -159,22 +188,29 @@ def with_successor(docs: DataFrame, value: Callable[[Column], Column], blocks: i
         ~F.col("tail")).select("doc_id", "text", "value", "next_text", "next_value")
 
 
+def half(text: Column) -> Column:
+    """Half the text's code points, rounded down."""
+    return F.floor(F.char_length(text) / 2).cast("int")
+
+
 def edited(text: Column, successor: Column) -> Column:
-    """The text with its last half (rounded down) replaced by as much of its successor's start."""
-    n = F.char_length(text)
-    half = F.floor(n / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), n - half), F.substring(successor, F.lit(1), half))
+    """The text with its last half replaced by as much of its successor's start."""
+    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half(text)), F.substring(successor, F.lit(1), half(text)))
 
 
 def compare(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
-    rows = with_successor(docs, lambda text: anchors(text, k, s)).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_value", anchors(F.col("edited"), k, s))
-    own, after, other = F.col("value"), F.col("edited_value"), F.col("next_value")
+    text, after = F.col("text"), F.col("next_text")
+    rows = with_successor(docs, lambda text: chosen(text, k, s)).withColumn("edited", edited(text, after))
+    cut = F.char_length(text) - half(text)
+    rows = rows.withColumns({
+        "own": or_whole(F.col("value"), text), "other": or_whole(F.col("next_value"), after),
+        "new": or_whole(joined(F.col("value"), cut, F.col("next_value"), F.col("edited"), k, s), F.col("edited"))})
+    own, new, other = F.col("own"), F.col("new"), F.col("other")
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(own).alias("fingerprint"), fingerprint(after).alias("edited_fingerprint"),
-        likeness(own, after).alias("near_edited"), likeness(own, other).alias("near_next"),
-        F.size(F.array_intersect(own, after)).cast("long").alias("in_place_edited"),
+        fingerprint(own).alias("fingerprint"), fingerprint(new).alias("edited_fingerprint"),
+        likeness(own, new).alias("near_edited"), likeness(own, other).alias("near_next"),
+        F.size(F.array_intersect(own, new)).cast("long").alias("in_place_edited"),
         F.size(F.array_intersect(own, other)).cast("long").alias("in_place_next"))
