@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from pluvia.functions.frames import add_trailing
 from pluvia.operators.seasonal import monthly_totals
+from pluvia.session import materialise
 from pluvia.spec import DEFAULT, SeriesSpec
 
 Z95 = 1.959963984540054
@@ -196,59 +197,124 @@ def mackinnon_p(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _adf(y: np.ndarray) -> tuple[float, float, int, int]:
-    """Statistic, p-value, lags (by AIC on a common sample) and observations."""
-    n = len(y)
-    max_lag = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if max_lag < 0 or np.ptp(y) == 0:
-        return math.nan, math.nan, 0, n
-    dy = np.diff(y)
-
-    def design(lags: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = len(dy) - lags
-        cols = [np.ones(rows), y[lags:-1]]
-        cols += [dy[lags - k:len(dy) - k] for k in range(1, lags + 1)]
-        return np.column_stack(cols), dy[lags:]
-
-    x, target = design(max_lag)
-    q, _ = np.linalg.qr(x)
-    ssr = target @ target - np.cumsum((q.T @ target) ** 2)
-    rows = len(target)
-    k = np.arange(2, max_lag + 3)
-    aic = rows * (np.log(2 * np.pi) + np.log(np.maximum(ssr[1:], 1e-300) / rows) + 1) + 2 * k
-    lags = int(np.argmin(aic))
-    x, target = design(lags)
-    coef, *_ = np.linalg.lstsq(x, target, rcond=None)
-    resid = target - x @ coef
-    sigma2 = resid @ resid / (len(target) - x.shape[1])
-    se = math.sqrt(sigma2 * np.linalg.inv(x.T @ x)[1, 1])
-    stat = float(coef[1] / se)
-    return stat, mackinnon_p(stat), lags, len(target)
+def _ranked(df: DataFrame, column: str, order: str, spec: SeriesSpec) -> DataFrame:
+    """(series, rn, n, y) of the present values, from 1 in order, centred in the series."""
+    y = F.col(column).cast("double")
+    whole = Window.partitionBy(spec.series)
+    present = df.where(y.isNotNull()).select(spec.series, F.col(order).alias("_o"), y.alias("_y"))
+    return present.select(
+        spec.series, F.row_number().over(whole.orderBy("_o")).alias("rn"), F.count("*").over(whole).alias("n"),
+        (F.col("_y") - F.avg("_y").over(whole)).alias("y"))
+
+
+def adf_sums(ranked: DataFrame, n_lags: int, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """What every Dickey-Fuller regression of up to ``n_lags`` lags needs, one row a series.
+
+    ``dd`` and ``yd`` are the sums of d(t) d(t-k) and y(t) d(t-k) over all t, with d the
+    differences and y the level before them, for k = 0 .. n_lags; ``y1`` and ``y2`` the sums
+    of y and of its square. A regression that starts later differs from them by the first
+    and last values only, which ``head`` and ``tail`` hold, n_lags + 1 of each at most.
+    The products exist inside a task only, as in ``_lag_pairs``.
+    """
+    w = Window.partitionBy(spec.series).orderBy("rn")
+    level = F.lag("y").over(w)
+    steps = ranked.select(spec.series, "rn", level.alias("_p"), (F.col("y") - level).alias("_d"))
+    lags = range(n_lags + 1)
+    lagged = steps.withColumns({f"_l{k}": F.lag("_d", k).over(w) if k else F.col("_d") for k in lags})
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_l{k}").alias("l")) for k in lags])
+    d, p, first = F.col("_d"), F.col("_p"), F.col("k") == 0
+    sums = lagged.where(p.isNotNull()).select(spec.series, "_d", "_p", F.inline(pairs)).groupBy(spec.series, "k").agg(
+        F.sum(d * F.col("l")).alias("dd"), F.sum(p * F.col("l")).alias("yd"),
+        F.sum(F.when(first, p)).alias("y1"), F.sum(F.when(first, p * p)).alias("y2"))
+    in_order = lambda name: F.transform(F.sort_array(F.collect_list(F.struct("k", name))), lambda e: e[name])
+    zero = F.lit(0.0)
+    folded = sums.withColumns({"dd": F.coalesce("dd", zero), "yd": F.coalesce("yd", zero)}).groupBy(spec.series).agg(
+        in_order("dd").alias("dd"), in_order("yd").alias("yd"), F.max("y1").alias("y1"), F.max("y2").alias("y2"))
+    rn, n = F.col("rn"), F.col("n")
+    values = lambda keep: F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("rn", "y")))), lambda e: e["y"])
+    at_start, at_end = rn <= n_lags + 1, rn >= n - n_lags
+    ends = ranked.where(at_start | at_end).groupBy(spec.series).agg(
+        F.max("n").alias("n"), values(at_start).alias("head"), values(at_end).alias("tail"))
+    return ends.join(folded, spec.series, "left")
+
+
+def gram(n: int, dd: np.ndarray, yd: np.ndarray, y1: float, y2: float, head: np.ndarray, tail: np.ndarray,
+         skip: int, lags: int) -> np.ndarray:
+    """Products of (1, y, d(t-1) .. d(t-lags), d(t)) over the differences from ``skip`` on."""
+    m, order = n - 1, [*range(1, lags + 1), 0]
+    first, last = np.diff(head), np.diff(tail)  # d(0), d(1), ..; .., d(m-2), d(m-1)
+    g = np.zeros((lags + 3, lags + 3))
+    g[0, 0], g[0, 1], g[1, 1] = m - skip, y1 - head[:skip].sum(), y2 - head[:skip] @ head[:skip]
+    for a, i in enumerate(order):
+        g[0, a + 2] = tail[len(tail) - 1 - i] - head[skip - i]
+        g[1, a + 2] = yd[i] - head[i:skip] @ first[:skip - i]
+        for b, j in enumerate(order[a:], a):
+            lo, k = min(i, j), abs(i - j)
+            before = first[k:skip - lo] @ first[:skip - lo - k] if skip - lo > k else 0.0
+            after = last[len(last) - lo:] @ last[len(last) - lo - k:len(last) - k] if lo else 0.0
+            g[a + 2, b + 2] = dd[k] - before - after
+    return np.triu(g) + np.triu(g, 1).T
+
+
+def adf_of(n: int, dd, yd, y1: float, y2: float, head, tail, fixed: int | None = None) -> tuple | None:
+    """(statistic, p-value, lags, observations): lags fixed, or by AIC on the sample that all
+    orders share. The squared residuals of all orders are what one Cholesky factor of the
+    longest regression's products leaves of the target."""
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2) if fixed is None else fixed
+    if most < 0 or n - 1 - most < most + 3 or dd is None or not dd[0] > 0:
+        return None
+    sums = (n, np.asarray(dd), np.asarray(yd), y1, y2, np.asarray(head), np.asarray(tail))
+
+    def factor(g: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(np.maximum(np.diag(g), 1e-300))
+        return scale[:, None] * np.linalg.cholesky(g / scale[:, None] / scale[None, :] + 1e-14 * np.eye(len(g)))
+
+    try:
+        lags = most
+        if fixed is None:
+            g = gram(*sums, most, most)
+            left = g[-1, -1] - np.cumsum(factor(g)[-1, :-1] ** 2)
+            rows, k = n - 1 - most, np.arange(2, most + 3)
+            aic = rows * (np.log(2 * np.pi) + np.log(np.maximum(left[1:], 1e-300) / rows) + 1) + 2 * k
+            lags = int(np.argmin(aic))
+        g = gram(*sums, lags, lags)
+        lower, rows = factor(g), n - 1 - lags
+        inner, target = lower[:-1, :-1], lower[-1, :-1]
+        back = np.linalg.inv(inner)  # products are inner inner', so their inverse is back' back
+        coef, spread = back.T @ target, (back[:, 1] ** 2).sum()
+        sigma2 = (g[-1, -1] - target @ target) / (rows - len(coef))
+        stat = float(coef[1] / math.sqrt(sigma2 * spread))
+    except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+        return None
+    return stat, mackinnon_p(stat), lags, rows
 
 
 def adf_test(
-    df: DataFrame, column: str, label: str, order: str | None = None, spec: SeriesSpec = DEFAULT
+    df: DataFrame, column: str, label: str, order: str | None = None, spec: SeriesSpec = DEFAULT,
+    n_lags: int | None = None,
 ) -> DataFrame:
-    """Augmented Dickey-Fuller per series with the lag order chosen by AIC.
+    """Augmented Dickey-Fuller per series, with ``n_lags`` or the lag order chosen by AIC.
 
-    Spark groups the panel by series; one series is at most its calendar.
+    The sums are Spark aggregates; a row's few dozen numbers are solved in a vectorised
+    helper. The series' key keeps its type. A constant or too short series has no statistic.
     """
-    order = order or spec.date
-    levels = list(TAU_CRITICAL)
-    schema = ("series_id bigint, statistic double, p_value double, n_lags int, n_obs int, "
-              "crit_1 double, crit_5 double, crit_10 double")
+    ranked = _ranked(df, column, order or spec.date, spec)
+    longest = ranked.agg(F.max("n").alias("n")).head()["n"] or 0
+    most = max(0, math.ceil(12 * (longest / 100) ** 0.25)) if n_lags is None else n_lags
 
-    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].dropna().to_numpy(float)
-        stat, p, lags, n = _adf(y)
-        crit = [sum(c / n ** i for i, c in enumerate(TAU_CRITICAL[v])) for v in levels]
-        return pd.DataFrame([[key[0], stat, p, lags, n, *crit]], columns=[
-            "series_id", "statistic", "p_value", "n_lags", "n_obs", "crit_1", "crit_5", "crit_10"])
+    @F.pandas_udf("statistic double, p_value double, n_lags int, n_obs int")
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        got = [adf_of(*r, n_lags) for r in rows.itertuples(index=False)]
+        return pd.DataFrame([r or (None,) * 4 for r in got], columns=["statistic", "p_value", "n_lags", "n_obs"]).astype(
+            {"statistic": "float64", "p_value": "float64", "n_lags": "Int32", "n_obs": "Int32"})
 
-    rows = df.select(F.col(spec.series).cast("bigint").alias("series_id"), F.col(order).alias("t"),
-                     F.col(column).cast("double").alias("y"))
-    out = rows.groupBy("series_id").applyInPandas(test, schema)
-    return out.select(F.lit(label).alias("variant"), "*", (F.col("p_value") < 0.05).alias("is_stationary"))
+    sums = adf_sums(ranked, most, spec).withColumn("_a", solved(F.struct("n", "dd", "yd", "y1", "y2", "head", "tail")))
+    value = lambda name: F.when(F.col("_a.n_obs").isNotNull(), F.col(f"_a.{name}"))
+    limits = {f"crit_{name[:-1]}": sum((c / F.pow(value("n_obs"), i) for i, c in enumerate(coef)), F.lit(0.0))
+              for name, coef in TAU_CRITICAL.items()}
+    return sums.select(
+        F.lit(label).alias("variant"), spec.series, *[value(c).alias(c) for c in ("statistic", "p_value", "n_lags", "n_obs")],
+        *[c.alias(name) for name, c in limits.items()], (value("p_value") < 0.05).alias("is_stationary"))
 
 
 def adf_tests(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
@@ -284,41 +350,69 @@ def kpss_not_rejected(stat: Column, regression: str) -> Column:
     return stat < KPSS_CRITICAL[regression][1]
 
 
-def _kpss(y: np.ndarray, regression: str) -> tuple[float, float, int]:
-    n = len(y)
-    if regression == "ct":
-        t = np.arange(1, n + 1)
-        e = y - np.polyval(np.polyfit(t, y, 1), t)
-    else:
-        e = y - y.mean()
-    if not np.any(np.abs(e) > 1e-12):
-        return math.nan, math.nan, 0
-    cov_lags = int(n ** (2 / 9))
-    s0, s1 = e @ e / n, 0.0
-    for k in range(1, cov_lags + 1):
-        g = e[k:] @ e[:-k] / (n / 2)
-        s0 += g
-        s1 += k * g
-    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
-    lrv = e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))
-    stat = float(np.sum(np.cumsum(e) ** 2) / n ** 2 / (lrv / n))
-    return stat, float(np.interp(stat, KPSS_CRITICAL[regression], KPSS_PVALUES)), lags
+def kpss_p(stat: Column, regression: str) -> Column:
+    """The p-value between the tabled ones by straight lines, 0.01 and 0.10 beyond them."""
+    table = list(zip(KPSS_CRITICAL[regression], KPSS_PVALUES, strict=True))
+    p = F.when(stat <= table[0][0], table[0][1])
+    for (x0, p0), (x1, p1) in zip(table, table[1:]):
+        p = p.when(stat <= x1, p0 + (stat - x0) * ((p1 - p0) / (x1 - x0)))
+    return p.when(stat.isNotNull(), table[-1][1])
+
+
+def kpss_lags(residuals: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """(series, lags): the lag of the long-run variance from each series' own first products."""
+    longest = residuals.agg(F.max("n").alias("n")).head()["n"] or 0
+    lags = range(1, int(longest ** (2 / 9)) + 1)
+    w = Window.partitionBy(spec.series).orderBy("rn")
+    pairs = F.array(F.struct(F.lit(0).alias("k"), F.col("e").alias("l")), *[
+        F.struct(F.lit(k).alias("k"), F.col(f"_l{k}").alias("l")) for k in lags])
+    products = _lagged(residuals, "e", lags, w).select(spec.series, "n", "e", F.inline(pairs)).groupBy(
+        spec.series, "n", "k").agg(F.sum(F.col("e") * F.col("l")).alias("g"))
+    n, k = F.col("n"), F.col("k")
+    used = products.where(k <= F.floor(F.pow(n, F.lit(2 / 9)))).groupBy(spec.series, "n").agg(
+        (F.sum(F.when(k == 0, F.col("g"))) / n + F.coalesce(F.sum(F.when(k > 0, F.col("g"))), F.lit(0.0)) / (n / 2)).alias("s0"),
+        (F.sum(k * F.col("g")) / (n / 2)).alias("s1"))
+    ratio = F.col("s1") / F.col("s0")
+    grown = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
+    return used.where(F.col("s0") != 0).select(spec.series, F.least(grown, n - 1).cast("int").alias("lags"))
 
 
 def kpss_test(
-    df: DataFrame, column: str, label: str, regression: str = "c", spec: SeriesSpec = DEFAULT
+    df: DataFrame, column: str, label: str, regression: str = "c", spec: SeriesSpec = DEFAULT,
+    n_lags: int | None = None,
 ) -> DataFrame:
-    """KPSS per series with the data-driven lag and the interpolated p-value."""
-    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].dropna().to_numpy(float)
-        return pd.DataFrame([[key[0], *_kpss(y, regression)]],
-                            columns=["series_id", "statistic", "p_value", "n_lags"])
-
-    rows = df.select(F.col(spec.series).cast("bigint").alias("series_id"),
-                     F.col(spec.date).alias("t"), F.col(column).cast("double").alias("y"))
-    out = rows.groupBy("series_id").applyInPandas(
-        test, "series_id bigint, statistic double, p_value double, n_lags int")
-    return out.select(F.lit(label).alias("variant"), "*", (F.col("p_value") > 0.05).alias("is_stationary"))
+    """KPSS per series with ``n_lags`` or the data-driven lag, and the interpolated p-value.
+
+    The long-run variance with Bartlett's weights over L lags is the mean square of the
+    sums of L + 1 residuals in a row, over L + 1, with zeros beyond both ends. Such a sum
+    is a difference of two running sums, so any lag costs one equijoin of the running
+    sums with themselves. The series' key keeps its type; a constant series has no
+    statistic.
+    """
+    whole, w = Window.partitionBy(spec.series), Window.partitionBy(spec.series).orderBy("rn")
+    ranked = _ranked(df, column, spec.date, spec)
+    e = F.col("y")
+    if regression == "ct":  # y is centred already
+        rn = F.col("rn").cast("double")
+        middle = (F.col("n") + 1) / 2
+        slope = F.try_divide(F.sum(e * (rn - middle)).over(whole), F.sum((rn - middle) * (rn - middle)).over(whole))
+        e = e - F.coalesce(slope, F.lit(0.0)) * (rn - middle)
+    residuals = materialise(ranked.select(spec.series, "rn", "n", e.alias("e")).withColumn(
+        "s", F.sum("e").over(w.rowsBetween(Window.unboundedPreceding, 0))), "residual-sums")
+    lags = F.lit(n_lags).alias("lags")
+    rows = residuals.withColumn("lags", lags) if n_lags is not None else residuals.join(kpss_lags(residuals, spec), spec.series)
+    before = residuals.select(spec.series, F.col("rn").alias("_at"), F.col("s").alias("_before"))
+    s, n, at_end = F.col("s"), F.col("n"), (F.col("rn") >= F.col("n") - F.col("lags")) & (F.col("rn") < F.col("n"))
+    run = s - F.coalesce("_before", F.lit(0.0))
+    sums = rows.withColumn("_at", F.col("rn") - F.col("lags") - 1).join(before, [spec.series, "_at"], "left").groupBy(
+        spec.series, "n", "lags").agg(
+            F.sum(s * s).alias("eta"), F.max(F.abs("e")).alias("most"),
+            (F.sum(run * run) + F.coalesce(F.sum(F.when(at_end, s * s)), F.lit(0.0))).alias("runs"))
+    stat = F.when(F.col("most") > 1e-12, F.try_divide(F.col("eta") / n, F.col("runs") / (F.col("lags") + 1)))
+    out = sums.select(F.lit(label).alias("variant"), spec.series, stat.alias("statistic"), "lags")
+    p = kpss_p(F.col("statistic"), regression)
+    return out.select("variant", spec.series, "statistic", p.alias("p_value"), F.col("lags").cast("int").alias("n_lags"),
+                      (p > 0.05).alias("is_stationary"))
 
 
 def kpss_tests(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:

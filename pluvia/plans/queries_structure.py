@@ -36,12 +36,21 @@ def _both_lags(df):
         st.lag_correlation(logged, "log_target").withColumn("scale", F.lit("log")))
 
 
+def _one_lag(df):
+    logged = st.log_target(df)
+    return st.adf_test(logged, "rainfall", "raw_daily", n_lags=1).unionByName(
+        st.adf_test(logged, "log_target", "log_daily", n_lags=1)).drop("p_value", "crit_1", "crit_10")
+
+
+def _trend(df):
+    return st.kpss_test(st.log_target(df), "log_target", "log_daily_trend", "ct", n_lags=7)
+
+
 def _interpret(df):
-    adf = st.adf_without_lags(df, "rainfall").withColumn(
-        "is_stationary", F.col("statistic") < st.TAU_CRITICAL["5%"][0])
+    logged = st.log_target(df)
     return st.interpretation(
-        st.significant_lags(st.lag_correlation(df, "rainfall", [1, 2, 7])),
-        st.component_strength(st.decompose(df)), adf, st.kpss_level(df, "rainfall"))
+        st.significant_lags(st.lag_correlation(df, "rainfall", [1, 2, 7])), st.component_strength(st.decompose(df)),
+        st.adf_test(logged, "log_target", "log_daily", n_lags=1), st.kpss_test(logged, "log_target", "log_daily_level"))
 
 
 Q = {
@@ -65,8 +74,10 @@ Q = {
     "h5_decomposition": _dense(st.decompose, 5),
     "h6_component_strength": _dense(lambda df: st.component_strength(st.decompose(df))),
     "h7_adf_without_lags": _dense(lambda df: st.adf_without_lags(df, "rainfall")),
+    "h7_adf_one_lag": _dense(_one_lag),
     "h7_adf_tests": _dense(st.adf_tests),
     "h8_kpss_level": _dense(lambda df: st.kpss_level(df, "rainfall")),
+    "h8_kpss_trend": _dense(_trend),
     "h8_kpss_tests": _dense(st.kpss_tests),
     "h9_interpretation": _dense(_interpret),
 }

@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+import unit_roots
 from pyspark.sql import functions as F
 
 from pluvia.functions.exprs import category
@@ -200,10 +201,10 @@ def test_unit_root_tests():
     rng = np.random.default_rng(7)
     noise = rng.normal(size=800)
     walk = noise.cumsum()
-    stat, p, lags, n = st._adf(noise)
+    stat, p, lags, n = unit_roots.adf(noise)
     assert p < 0.01 and n == 799 - lags
-    assert st._adf(walk)[1] > 0.05
-    assert st._kpss(noise, "c")[1] > 0.05 and st._kpss(walk, "c")[1] < 0.05
+    assert unit_roots.adf(walk)[1] > 0.05
+    assert unit_roots.kpss(noise, "c")[1] > 0.05 and unit_roots.kpss(walk, "c")[1] < 0.05
     # Tabulated 5 % point of the Dickey-Fuller distribution.
     assert st.mackinnon_p(-2.86) == pytest.approx(0.05, abs=0.002)
     # Without lags the closed form and the regression agree.
@@ -213,6 +214,61 @@ def test_unit_root_tests():
     assert lags > 0 or stat == pytest.approx(coef[1] / se)
 
 
+def series_of_many_kinds():
+    rng = np.random.default_rng(17)
+    drops = lambda n: np.where(rng.random(n) < 0.7, 0.0, rng.gamma(0.7, 9.0, n))
+    walk = rng.normal(size=900).cumsum()
+    slow = np.zeros(700)
+    for t in range(2, 700):
+        slow[t] = 1.2 * slow[t - 1] - 0.25 * slow[t - 2] + rng.normal()
+    out = {"noise": rng.normal(size=800), "walk": walk + 1e3, "slow": slow, "rain": drops(1500),
+           "trend": drops(600) + 0.02 * np.arange(600), "short": rng.normal(size=10), "season": 5 + np.sin(np.arange(1200) / 58) * 3 + drops(1200)}
+    out["gaps"] = [None if i % 11 == 3 else v for i, v in enumerate(drops(500))]
+    return {k: list(v) for k, v in out.items()}
+
+
+def keyed_panel(spark, series):
+    """A panel whose series have text keys."""
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(1500)]
+    rows = [(k, days[i], None if v is None else float(v)) for k, values in series.items() for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "series_id string, date date, rainfall double")
+
+
+def test_unit_roots_from_sums_equal_single_series(spark):
+    series = series_of_many_kinds()
+    df = keyed_panel(spark, {**series, "flat": [2.0] * 50, "one": [1.0], "none": [None] * 5})
+    plain = {k: np.array([x for x in v if x is not None]) for k, v in series.items()}
+    got = {r["series_id"]: r for r in st.adf_test(df, "rainfall", "raw").collect()}
+    assert dict(st.adf_test(df, "rainfall", "raw").dtypes)["series_id"] == "string"
+    for k, y in plain.items():
+        stat, p, lags, n = unit_roots.adf(y)
+        assert (got[k]["n_lags"], got[k]["n_obs"]) == (lags, n), k
+        assert got[k]["statistic"] == pytest.approx(stat, rel=1e-8) and got[k]["p_value"] == pytest.approx(p, abs=1e-8)
+        assert got[k]["crit_5"] == pytest.approx(sum(c / n**i for i, c in enumerate(st.TAU_CRITICAL["5%"])))
+        assert got[k]["is_stationary"] == (p < 0.05)
+    assert all(got[k]["statistic"] is None and got[k]["is_stationary"] is None for k in ("flat", "one"))
+    for regression in ("c", "ct"):
+        got = {r["series_id"]: r for r in st.kpss_test(df, "rainfall", "raw", regression).collect()}
+        for k, y in plain.items():
+            stat, p, lags = unit_roots.kpss(y, regression)
+            assert got[k]["n_lags"] == lags, k
+            assert got[k]["statistic"] == pytest.approx(stat, rel=1e-8) and got[k]["p_value"] == pytest.approx(p, abs=1e-8)
+            assert got[k]["is_stationary"] == (p > 0.05)
+        assert "flat" not in got or got["flat"]["statistic"] is None
+
+
+def test_unit_roots_on_an_empty_panel(spark):
+    empty = spark.createDataFrame([], "series_id string, date date, rainfall double")
+    assert st.adf_test(empty, "rainfall", "raw").count() == st.kpss_test(empty, "rainfall", "raw").count() == 0
+
+
+def test_no_series_is_a_pandas_group(spark):
+    df = keyed_panel(spark, {"a": [1.0, 2.0, 4.0] * 20})
+    for plan in (st.adf_test(df, "rainfall", "raw"), st.kpss_test(df, "rainfall", "raw")):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in text and "MapInPandas" not in text
+
+
 def test_special_functions():
     assert _beta_ratio(5, 0.5, 10 / (10 + 2.2281388519649385 ** 2)) == pytest.approx(0.05, abs=1e-9)
     assert _digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-9)
