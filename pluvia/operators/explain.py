@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.quantiles import exact_quantiles, quantile_columns
+from pluvia.operators.correlation import comoments
 from pluvia.session import materialise
 from pluvia.spec import DEFAULT, EXTREME_EVENT, SeriesSpec
 
@@ -16,6 +19,8 @@ from pluvia.spec import DEFAULT, EXTREME_EVENT, SeriesSpec
 GRID_POINTS, GRID_POINTS_2D, ICE_ROWS, TOP_FEATURES, LOCAL_FEATURES = 50, 30, 100, 20, 12
 BUCKET_ROWS = 16
 SEED = 42
+# A feature of which the ones before it leave less than this share is not fitted.
+TOLERANCE = 0.01
 
 # Adds a "prediction" column to rows that carry the feature array "x".
 Predictor = Callable[[DataFrame], DataFrame]
@@ -48,6 +53,59 @@ def linear_predictor(intercept: Column, coefficients: Column) -> Predictor:
     return predict
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """Least squares of a target on all features at once: means, coefficients, base value.
+
+    The base is the prediction at the means, which is the mean target of the fitted rows.
+    """
+
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    betas: tuple[float, ...]
+    base: float
+
+    def parameters(self) -> Column:
+        """Map feature -> struct(beta, mean), a constant."""
+        return F.map_from_entries(F.array(*[
+            F.struct(F.lit(f), F.struct(F.lit(b).alias("beta"), F.lit(m).alias("mean")))
+            for f, b, m in zip(self.features, self.betas, self.means, strict=True)]))
+
+    def predictor(self) -> Predictor:
+        offset = self.base - sum(b * m for b, m in zip(self.betas, self.means, strict=True))
+        return linear_predictor(F.lit(offset), F.array(*[F.lit(b) for b in self.betas]))
+
+
+def fit_linear(df: DataFrame, features: Sequence[str], target: str, tolerance: float = TOLERANCE) -> LinearFit:
+    """Normal equations from one comoment table, solved once.
+
+    Spark sums the moments of complete rows; the solve sees p (p + 3) / 2 numbers, fixed by
+    the columns. Features are taken up in order; one that those before it explain but for
+    ``tolerance`` of its variance (also a constant one) gets the coefficient 0.
+    """
+    names = [*features, target]
+    at = {c: i for i, c in enumerate(names)}
+    moments, means, p = np.zeros((len(names),) * 2), np.zeros(len(names)), len(features)
+    for r in comoments(df.select(*names).dropna(), names).collect():
+        i, j = at[r["a"]], at[r["b"]]
+        moments[i, j] = moments[j, i] = r["cab"]
+        means[i], means[j] = r["mean_a"], r["mean_b"]
+    scale = np.sqrt(np.maximum(np.diag(moments), 0.0))
+    scale[scale == 0] = 1.0
+    left = moments / scale[:, None] / scale[None, :]
+    used = []
+    for k in range(p):
+        if left[k, k] < tolerance:
+            continue
+        used.append(k)
+        row = left[k] / left[k, k]
+        left -= left[:, k:k + 1] * row
+        left[k] = row
+    betas = np.zeros(p)
+    betas[used] = left[used, p] * scale[p] / scale[used]
+    return LinearFit(tuple(features), tuple(means[:p].tolist()), tuple(betas.tolist()), float(means[p]))
+
+
 def shapley_values(
     rows: DataFrame, background: DataFrame, model, features: Sequence[str], permutations: int = 8,
     spec: SeriesSpec = DEFAULT,

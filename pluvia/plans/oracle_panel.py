@@ -228,13 +228,14 @@ define("scaler", " UNION ALL ".join(
         FROM features WHERE split = 'train'""" for c in SCALED), "features")
 S["d14_scaler_parameters"] = q("feature:s mean:f std:f", "SELECT * FROM scaler", "scaler")
 S["a5_scaler_json"] = S["d14_scaler_parameters"]
+# every scaled column's parameters in one row, from one scan
+define("scaler_row", "SELECT " + ", ".join(
+    f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS {c}_s" for c in SCALED)
+    + " FROM features WHERE split = 'train'", "features")
 S["d14_standardised"] = q(
     KEY + "split:s " + _types(SCALED),
-    "SELECT f.series_id, f.date, f.split, " + ", ".join(
-        f"(f.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in SCALED)
-    + " FROM features f CROSS JOIN (SELECT " + ", ".join(
-        f"max(mean) FILTER (feature = '{c}') AS {c}_m, max(std) FILTER (feature = '{c}') AS {c}_s"
-        for c in SCALED) + " FROM scaler) s", "features", "scaler", digits=4)
+    "SELECT f.series_id, f.date, f.split, " + ", ".join(f"(f.{c} - s.{c}_m) / s.{c}_s AS {c}" for c in SCALED)
+    + " FROM features f CROSS JOIN scaler_row s", "features", "scaler_row", digits=4)
 S["d15_model_input_sets"] = q(
     "split:s n_rows:i n_columns:i sum_target:f sum_log_target:f n_wet:i sum_scaled:f",
     f"""SELECT split, count(*) AS n_rows, {len([c for c in FEATURES if c not in LEAKAGE]) + 6} AS n_columns, sum(rainfall) AS sum_target,

@@ -7,7 +7,7 @@ prediction covers all rows of its split.
 from __future__ import annotations
 
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.operators import correlation as co
@@ -173,19 +173,27 @@ def wet_model(spark, folder):
     return model, train, wet_rows(df, "test")
 
 
-def linear_parameters(df: DataFrame) -> tuple[Column, Column]:
-    """Univariate slopes and means on the train rows, and the mean log target."""
-    train = df.where(F.col("split") == "train")
-    moments = co.comoments(train, [*EXPLAINED, "log_rainfall"]).where(
-        (F.col("b") == "log_rainfall") & (F.col("a") != "log_rainfall"))
-    entry = F.struct("a", F.struct((F.col("cab") / F.col("caa")).alias("beta"), F.col("mean_a").alias("mean")))
-    return (moments.agg(F.map_from_entries(F.collect_list(entry))).scalar(),
-            train.agg(F.avg("log_rainfall")).scalar())
+def linear_case(spark: SparkSession, folder: str) -> tuple[ex.LinearFit, DataFrame]:
+    """The linear model of all candidates on the wet train days, and the wet test days."""
+    df = features(spark, folder)
+    names = se.candidates(ft.feature_names(df))
+    wet = df.where((F.col("rain_occurrence") == 1) & F.col("split").isin("train", "test"))
+    rows = mo.fitted_rows(wet.select(*DEFAULT.key, "split", "rainfall", "log_rainfall", *names).dropna(), "wet-rows")
+    return ex.fit_linear(rows.where("split = 'train'"), names, "log_rainfall"), rows.where("split = 'test'").drop("split")
 
 
 def linear_phi(spark, folder):
-    df = narrow(spark, folder, EXPLAINED)
-    return ex.linear_attributions(wet_rows(df, "test"), EXPLAINED, linear_parameters(df)[0])
+    fit, rows = linear_case(spark, folder)
+    return ex.linear_attributions(rows, fit.features, fit.parameters())
+
+
+def n2_predictions(spark, folder):
+    """The model's own predictions beside the base value plus the attributions."""
+    fit, rows = linear_case(spark, folder)
+    phi = ex.linear_attributions(rows, fit.features, fit.parameters())
+    sums = phi.groupBy(*DEFAULT.key).agg((F.lit(fit.base) + F.sum("phi")).alias("base_and_phi"))
+    scored = fit.predictor()(rows.withColumn("x", ex.feature_array(fit.features)))
+    return scored.select(*DEFAULT.key, "prediction").join(sums, DEFAULT.key)
 
 
 def n1(spark, folder):
@@ -194,7 +202,7 @@ def n1(spark, folder):
 
 
 def n5(spark, folder):
-    return ex.dependence(linear_phi(spark, folder), ["rh", "cloud", "rainfall_lag1"], "rainfall_lag1")
+    return ex.dependence(linear_phi(spark, folder), EXPLAINED, "rainfall_lag1")
 
 
 def n5_trend(spark, folder):
@@ -203,18 +211,13 @@ def n5_trend(spark, folder):
 
 
 def n6(spark, folder):
-    df = narrow(spark, folder, EXPLAINED)
-    parameters, base = linear_parameters(df)
-    return ex.local_cases(ex.linear_attributions(wet_rows(df, "test"), EXPLAINED, parameters), base, n_show=4)
+    fit, rows = linear_case(spark, folder)
+    return ex.local_cases(ex.linear_attributions(rows, fit.features, fit.parameters()), fit.base)
 
 
 def n7_linear(spark, folder):
-    df = narrow(spark, folder, EXPLAINED)
-    parameters, base = linear_parameters(df)
-    beta = F.array(*[parameters[c]["beta"] for c in EXPLAINED])
-    offset = sum((parameters[c]["beta"] * parameters[c]["mean"] for c in EXPLAINED), F.lit(0.0))
-    predict = ex.linear_predictor(base - offset, beta)
-    return ex.partial_dependence(wet_rows(df, "test"), EXPLAINED, EXPLAINED, predict)
+    fit, rows = linear_case(spark, folder)
+    return ex.partial_dependence(rows, fit.features, EXPLAINED, fit.predictor())
 
 
 def n7(spark, folder):
@@ -257,8 +260,9 @@ Q = {
     "k7_predict_and_store": _plain(k7),
     "n1_shapley_values": _plain(n1),
     "n2_linear_attributions": _plain(linear_phi, 5),
+    "n2_linear_predictions": _plain(n2_predictions, 5),
     "n3_global_summary": _plain(lambda s, f: ex.global_summary(linear_phi(s, f))),
-    "n4_normalised_values": _plain(lambda s, f: ex.normalised_values(linear_phi(s, f), top=3), 5),
+    "n4_normalised_values": _plain(lambda s, f: ex.normalised_values(linear_phi(s, f)), 5),
     "n5_dependence": _plain(n5, 5),
     "n5_dependence_trend": _plain(n5_trend, 5),
     "n6_local_cases": _plain(n6, 5),

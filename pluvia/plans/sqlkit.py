@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 # Shared derivations, each with the ones it builds on.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+HELD = {"features", "wettrain", "wettest", "params", "phis"}
 
 
 def define(name: str, sql: str, *needs: str) -> None:
@@ -31,9 +34,10 @@ def q(columns: str, body: str, *needs: str, digits: int = 6) -> str:
             "d": f"CAST({name} AS VARCHAR) AS {name}",
             "s": f"CAST({name} AS VARCHAR) AS {name}",
         }[kind])
-    # the wide feature table is read by several parts of a query: computed once
-    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'features' else ''}({s})" for n, s in seen.items())
-    prefix = f"WITH {ctes}\n" if ctes else ""
+    # tables that several parts of a query read are computed once
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in HELD else ''}({s})" for n, s in seen.items())
+    recursive = any(re.search(rf"\b{n}\b", s) for n, s in seen.items())
+    prefix = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n" if ctes else ""
     return f"{prefix}SELECT {', '.join(parts)}\nFROM ({body}) AS result"
 
 

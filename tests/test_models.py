@@ -75,6 +75,23 @@ def test_shapley_adds_up_and_matches_a_linear_model(rows):
     assert sum(r.fraction for r in summary) == pytest.approx(1.0)
 
 
+def test_linear_fit_equals_least_squares(rows):
+    train = rows.where("split = 'train'").withColumns({
+        "copy": F.col("a") * 2 + 1, "flat": F.lit(3.0), "blend": F.col("a") - F.col("b"), "gap": F.when(F.col("c") < 2, F.col("c"))})
+    names = ["a", "copy", "flat", "b", "blend", "gap"]
+    fit = ex.fit_linear(train, names, "log_rainfall")
+    pdf = train.select(*names, "log_rainfall").dropna().toPandas()
+    own = pdf[["a", "b", "gap"]].to_numpy()
+    coef, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(own)), own]), pdf["log_rainfall"], rcond=None)
+    np.testing.assert_allclose([fit.betas[i] for i in (0, 3, 5)], coef[1:], rtol=1e-9)
+    assert [fit.betas[i] for i in (1, 2, 4)] == [0.0] * 3  # explained by those before, or constant
+    assert fit.base == pytest.approx(pdf["log_rainfall"].mean())
+    scored = fit.predictor()(train.dropna().withColumn("x", ex.feature_array(names)))
+    phi = ex.linear_attributions(scored, names, fit.parameters()).groupBy("series_id", "date").agg(F.sum("phi").alias("s"))
+    gaps = scored.join(phi, ["series_id", "date"]).select(F.max(F.abs(F.col("prediction") - F.col("s") - fit.base)))
+    assert gaps.head()[0] < 1e-9
+
+
 def test_dependence_of_a_tree_matches_brute_force(rows):
     test = rows.where("split = 'test'").select("series_id", "date", *FEATURES)
     model = GBTRegressor(labelCol="log_rainfall", featuresCol="x", maxIter=3, maxDepth=2).fit(
