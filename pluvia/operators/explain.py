@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -248,6 +249,134 @@ def grid_limits(rows: DataFrame, features: Sequence[str]) -> Column:
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))).scalar()
 
 
+# --- cells between the thresholds of trees
+
+Cuts = Mapping[str, Sequence[float]]
+
+
+def split_cuts(model, features: Sequence[str]) -> dict[str, list[float]]:
+    """The thresholds at which a tree model over numeric features splits each of them.
+
+    Values of a feature between two thresholds (the upper one included) are one cell: rows
+    that agree in all cells take the same way through every tree. A tree model has fewer
+    thresholds a feature than its ``maxBins``.
+    """
+    found: dict[str, set[float]] = {c: set() for c in features}
+    for index, cut in re.findall(r"If \(feature (\d+) <= ([^)]+)\)", model.toDebugString):
+        found[features[int(index)]].add(float(cut))
+    return {c: sorted(v) for c, v in found.items()}
+
+
+def _cut_array(cuts: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>")
+
+
+def cell_of(value: Column, cuts: Sequence[float]) -> Column:
+    """Number of thresholds below the value."""
+    return F.size(F.filter(_cut_array(cuts), lambda t: value > t))
+
+
+def _stand_in(cell: Column, cuts: Sequence[float]) -> Column:
+    """A value of the cell: its upper threshold, or one more than the last."""
+    return F.coalesce(F.get(_cut_array(cuts), cell), F.lit(float(cuts[-1] + 1) if cuts else 0.0))
+
+
+def _cells(features: Sequence[str], cuts: Cuts) -> Column:
+    return F.array(*[cell_of(F.col(c).cast("double"), cuts[c]) for c in features])
+
+
+def _scored_cells(predict: Predictor, df: DataFrame, features: Sequence[str], cuts: Cuts) -> DataFrame:
+    """``df``, whose ``cells`` has one number a feature, with the prediction there."""
+    values = F.array(*[_stand_in(F.get("cells", F.lit(i)), cuts[c]) for i, c in enumerate(features)])
+    return predict(df.withColumn("x", values))
+
+
+def _grid(rows: DataFrame, limits: Column, swept: Sequence[str], cuts: Cuts, points: int) -> DataFrame:
+    """(feature, grid_idx, grid_value, cell): ``points`` rows a swept feature."""
+    lines = None
+    for c in swept:
+        at = limits[c]["lo"] + (limits[c]["hi"] - limits[c]["lo"]) * F.col("grid_idx") / (points - 1)
+        line = rows.sparkSession.range(points).select(F.lit(c).alias("feature"), F.col("id").cast("int").alias("grid_idx")).withColumn(
+            "grid_value", at).withColumn("cell", cell_of(F.col("grid_value"), cuts[c]))
+        lines = line if lines is None else lines.unionByName(line)
+    return materialise(lines, "grid")
+
+
+def _masked(cells: Column, places: Column) -> Column:
+    """``cells`` without what stands at ``places``, which the sweep replaces."""
+    return F.transform(cells, lambda v, i: F.when(F.array_contains(places, i), F.lit(-1)).otherwise(v))
+
+
+def _replaced(places: Column, values: Column) -> Column:
+    return F.transform("cells", lambda v, i: F.coalesce(
+        F.get(values, (F.array_position(places, i) - 1).cast("int")), v))
+
+
+def _counted(rows: DataFrame, features: Sequence[str], cuts: Cuts) -> DataFrame:
+    return materialise(rows.groupBy(_cells(features, cuts).alias("cells")).agg(F.count("*").alias("n")), "cells")
+
+
+def cell_dependence(
+    rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor, cuts: Cuts, points: int = GRID_POINTS,
+) -> DataFrame:
+    """``partial_dependence`` of a tree model with the thresholds ``cuts``: rows are counted
+    by cell, and every different cell is scored once for each cell that the grid reaches."""
+    grid = _grid(rows, grid_limits(rows, swept), swept, cuts, points)
+    order = {c: i for i, c in enumerate(features)}
+    sweep = F.array(*[F.struct(F.lit(c).alias("feature"), F.array(F.lit(order[c])).alias("places")) for c in swept])
+    rest = _counted(rows, features, cuts).select("cells", "n", F.inline(sweep)).groupBy(
+        "feature", "places", _masked(F.col("cells"), F.col("places")).alias("cells")).agg(F.sum("n").alias("n"))
+    reached = grid.select("feature", "cell").distinct()
+    steps = rest.join(reached, "feature").withColumn("cells", _replaced(F.col("places"), F.array("cell")))
+    mean = _scored_cells(predict, steps, features, cuts).groupBy("feature", "cell").agg(
+        (F.sum(F.col("n") * F.col("prediction")) / F.sum("n")).alias("pdp"))
+    return grid.join(mean, ["feature", "cell"]).select("feature", "grid_idx", "grid_value", "pdp")
+
+
+def cell_dependence_2d(
+    rows: DataFrame, features: Sequence[str], first: str, second: str, predict: Predictor, cuts: Cuts,
+    points: int = GRID_POINTS_2D,
+) -> DataFrame:
+    """``partial_dependence_2d`` in the same way: pairs of reached cells, not of grid points."""
+    grid = _grid(rows, grid_limits(rows, [first, second]), [first, second], cuts, points)
+    order = {c: i for i, c in enumerate(features)}
+    places = F.array(F.lit(order[first]), F.lit(order[second]))
+    rest = _counted(rows, features, cuts).groupBy(_masked(F.col("cells"), places).alias("cells")).agg(F.sum("n").alias("n"))
+    axis = lambda c, name: grid.where(F.col("feature") == c).select(F.col("grid_idx").alias(name), F.col("grid_value").alias(f"value_{name}"), F.col("cell").alias(f"cell_{name}"))
+    reached = lambda c: F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("feature") == c, F.col("cell")))))
+    cells = grid.agg(reached(first).alias("a"), reached(second).alias("b"))
+    steps = rest.withColumn("cell_i", F.explode(cells.select("a").scalar())).withColumn("cell_j", F.explode(cells.select("b").scalar()))
+    steps = steps.withColumn("cells", _replaced(places, F.array("cell_i", "cell_j")))
+    mean = _scored_cells(predict, steps, features, cuts).groupBy("cell_i", "cell_j").agg(
+        (F.sum(F.col("n") * F.col("prediction")) / F.sum("n")).alias("pdp"))
+    return mean.join(axis(first, "i"), "cell_i").join(axis(second, "j"), "cell_j").select("i", "j", "value_i", "value_j", "pdp")
+
+
+def cell_curves(
+    rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor, cuts: Cuts, grid: DataFrame, *keep: str,
+) -> DataFrame:
+    """(keep, feature, cell, prediction): every row in each cell that ``grid`` reaches."""
+    order = {c: i for i, c in enumerate(features)}
+    sweep = F.array(*[F.struct(F.lit(c).alias("feature"), F.array(F.lit(order[c])).alias("places")) for c in swept])
+    steps = rows.select(*keep, _cells(features, cuts).alias("cells"), F.inline(sweep)).join(
+        grid.select("feature", "cell").distinct(), "feature").withColumn("cells", _replaced(F.col("places"), F.array("cell")))
+    return _scored_cells(predict, steps, features, cuts).select(*keep, "feature", "cell", "prediction")
+
+
+def cell_band(
+    rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor, cuts: Cuts, points: int = GRID_POINTS,
+) -> DataFrame:
+    """``curve_band`` of the curves of all rows: the quantiles of a cell hold for all its grid points."""
+    grid = _grid(rows, grid_limits(rows, swept), swept, cuts, points)
+    curves = cell_curves(rows, features, swept, predict, cuts, grid)
+    point = ["feature", "cell"]
+    held = materialise(curves, "curves")
+    q = exact_quantiles(held, "prediction", [0.05, 0.95], point, points * TOP_FEATURES)
+    counts = held.groupBy(*point).agg(F.count("*").alias("n"))
+    return grid.join(counts, point).join(quantile_columns(q, point, {0.05: "low", 0.95: "high"}), point).select(
+        "feature", "grid_idx", "grid_value", "n", "low", "high")
+
+
 def _swept(
     rows: DataFrame, features: Sequence[str], swept: Sequence[str], limits: Column, points: int, *keep: str
 ) -> DataFrame:
@@ -277,11 +406,17 @@ def partial_dependence(
 
 def individual_curves(
     rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor,
-    n_rows: int | None = ICE_ROWS, points: int = GRID_POINTS, spec: SeriesSpec = DEFAULT,
+    n_rows: int | None = ICE_ROWS, points: int = GRID_POINTS, spec: SeriesSpec = DEFAULT, cuts: Cuts | None = None,
 ) -> DataFrame:
-    """The curves of ``n_rows`` hash-sampled rows, or of all (None), over the grid of all rows."""
+    """The curves of ``n_rows`` hash-sampled rows, or of all (None), over the grid of all rows.
+
+    With the thresholds of a tree model as ``cuts``, a row is scored once a cell."""
     limits = grid_limits(rows, swept)
     some = rows if n_rows is None else rows.orderBy(F.xxhash64(*spec.key, F.lit(SEED)), *spec.key).limit(n_rows)
+    if cuts is not None:
+        grid = _grid(rows, limits, swept, cuts, points)
+        return cell_curves(some, features, swept, predict, cuts, grid, *spec.key).join(grid, ["feature", "cell"]).select(
+            *spec.key, "feature", "grid_idx", "grid_value", "prediction")
     grid = _swept(some, features, swept, limits, points, *spec.key)
     return predict(grid).select(*spec.key, "feature", "grid_idx", "grid_value", "prediction")
 

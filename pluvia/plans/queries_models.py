@@ -222,21 +222,24 @@ def n7_linear(spark, folder):
 
 def n7(spark, folder):
     model, _, test = wet_model(spark, folder)
-    return ex.partial_dependence(test, EXPLAINED, EXPLAINED, ex.model_predictor(model))
+    return ex.cell_dependence(test, EXPLAINED, EXPLAINED, ex.model_predictor(model), ex.split_cuts(model, EXPLAINED))
 
 
 def curves(spark, folder, n_rows=ex.ICE_ROWS):
     model, _, test = wet_model(spark, folder)
-    return ex.individual_curves(test, EXPLAINED, EXPLAINED, ex.model_predictor(model), n_rows)
+    return ex.individual_curves(
+        test, EXPLAINED, EXPLAINED, ex.model_predictor(model), n_rows, cuts=ex.split_cuts(model, EXPLAINED))
 
 
 def band(spark, folder):
-    return ex.curve_band(curves(spark, folder, None))
+    model, _, test = wet_model(spark, folder)
+    return ex.cell_band(test, EXPLAINED, EXPLAINED, ex.model_predictor(model), ex.split_cuts(model, EXPLAINED))
 
 
 def n9(spark, folder):
     model, _, test = wet_model(spark, folder)
-    return ex.partial_dependence_2d(test, EXPLAINED, "cloud", "rh", ex.model_predictor(model))
+    return ex.cell_dependence_2d(
+        test, EXPLAINED, "cloud", "rh", ex.model_predictor(model), ex.split_cuts(model, EXPLAINED))
 
 
 def _plain(fn, digits=6):

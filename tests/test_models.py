@@ -108,6 +108,30 @@ def test_dependence_of_a_tree_matches_brute_force(rows):
     assert grid.count() == 9
 
 
+def test_cells_give_the_values_of_all_grid_points(rows):
+    test = rows.where("split = 'test'").select("series_id", "date", *FEATURES)
+    model = GBTRegressor(labelCol="log_rainfall", featuresCol="x", maxIter=6, maxDepth=3).fit(
+        mo.assemble(rows, FEATURES).select("x", "log_rainfall"))
+    cuts, predict = ex.split_cuts(model, FEATURES), ex.model_predictor(model)
+    assert sum(map(len, cuts.values())) > 5
+    key = ["feature", "grid_idx"]
+    same = lambda got, want, by: pd.testing.assert_frame_equal(
+        got.toPandas().sort_values(by).reset_index(drop=True), want.toPandas()[got.columns].sort_values(by).reset_index(drop=True),
+        check_dtype=False, rtol=1e-12)
+    same(ex.cell_dependence(test, FEATURES, ["a", "c"], predict, cuts), ex.partial_dependence(test, FEATURES, ["a", "c"], predict), key)
+    same(ex.cell_dependence_2d(test, FEATURES, "b", "a", predict, cuts, 12),
+         ex.partial_dependence_2d(test, FEATURES, "b", "a", predict, 12), ["i", "j"])
+    every = ex.individual_curves(test, FEATURES, FEATURES, predict, None)
+    same(ex.individual_curves(test, FEATURES, FEATURES, predict, None, cuts=cuts), every, ["series_id", "date", *key])
+    same(ex.cell_band(test, FEATURES, FEATURES, predict, cuts), ex.curve_band(every), key)
+    uncut = {c: [] for c in FEATURES}
+    flat = GBTRegressor(labelCol="zero", featuresCol="x", maxIter=1, maxDepth=1).fit(
+        mo.assemble(rows.withColumn("zero", F.lit(0.5)), FEATURES).select("x", "zero"))
+    assert ex.split_cuts(flat, FEATURES) == uncut
+    same(ex.cell_dependence(test, FEATURES, ["a"], ex.model_predictor(flat), uncut, 4),
+         ex.partial_dependence(test, FEATURES, ["a"], ex.model_predictor(flat), 4), key)
+
+
 def test_correlation_filter_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 3))
