@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvia.functions.exprs import bin_index, col, melt
+from pluvia.functions.exprs import col, melt
 from pluvia.functions.frames import add_centred_means, add_trailing, centred
 from pluvia.functions.quantiles import exact_quantiles, quantile_columns
+from pluvia.session import materialise
 from pluvia.spec import (
     COVARIATE_LAGS, COVARIATE_ROLLS, DEFAULT, DRY_LIMIT, TARGET_LAGS, TARGET_ROLLS, SeriesSpec,
 )
@@ -348,26 +349,34 @@ def sample_weight(
     return F.when(col(target) > threshold, F.lit(weight)).otherwise(F.lit(1.0))
 
 
-def histogram_by_season(df: DataFrame, feature: str, n_bins: int = 50) -> DataFrame:
-    """Density histogram of one feature, monsoon against the rest, on shared
-    bins between the exact 1 % and 99 % quantiles; outliers are clipped in."""
-    data = df.where(F.col(feature).isNotNull()).select(
-        F.col(feature).cast("double").alias("x"), (F.col("is_monsoon") == 1).alias("monsoon")
-    )
-    edges = quantile_columns(exact_quantiles(data, "x", [0.01, 0.99]), [], {0.01: "lo", 0.99: "hi"})
-    data = data.withColumn("s", edges.select(F.struct("lo", "hi")).scalar())
-    lo, hi = F.col("s.lo"), F.col("s.hi")
+# Features shown by season, and the fewest and most bins of a histogram.
+SHOWN = (
+    "rainfall_lag1", "rainfall_roll_mean_7", "rainfall_roll_std_30", "soil_moisture_gradient", "dewpoint_approx", "temp_range",
+    "pressure_rh_interaction", "dry_spell_length", "month_sin", "rh_lag1", "cloud_lag1", "pressure_lag1")
+MIN_BINS, MAX_BINS = 20, 50
+
+
+def histograms_by_season(df: DataFrame, features: Sequence[str] = SHOWN) -> DataFrame:
+    """Density histogram of each feature, monsoon against the rest, on shared bins between
+    the exact 1 % and 99 % quantiles; outliers are clipped in.
+
+    There is a bin for every hundred values, 20 at least and 50 at most. All features share
+    the passes; ``df`` is read twice. A feature whose two quantiles agree has no density.
+    """
+    data = melt(df, [(F.col("is_monsoon") == 1).alias("monsoon")], features, "feature", "x").where(F.col("x").isNotNull())
+    edges = quantile_columns(
+        exact_quantiles(data, "x", [0.01, 0.99], ["feature"], len(features)), ["feature"], {0.01: "lo", 0.99: "hi"})
+    sizes = data.groupBy("feature").agg(F.least(F.lit(MAX_BINS), F.greatest(
+        F.lit(MIN_BINS), F.floor(F.count("x") / 100))).cast("int").alias("bins"))
+    data = data.join(materialise(edges.join(sizes, "feature"), "bin-edges"), "feature")
+    lo, hi, bins = F.col("lo"), F.col("hi"), F.col("bins")
     clipped = F.greatest(lo, F.least(hi, F.col("x")))
-    counts = data.groupBy("monsoon", bin_index(clipped, lo, hi, n_bins).alias("bin")).agg(
-        F.count("*").alias("n"),
-        F.max(lo + (hi - lo) / n_bins * bin_index(clipped, lo, hi, n_bins)).alias("left_edge"),
-        F.max((hi - lo) / n_bins).alias("width"),
-    )
-    group = Window.partitionBy("monsoon")  # n_bins rows each
+    place = F.coalesce(F.least(F.floor(F.try_divide(clipped - lo, hi - lo) * bins), bins - 1), F.lit(0)).cast("int")
+    counts = data.groupBy("feature", "monsoon", place.alias("bin"), "lo", "hi", "bins").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("feature", "monsoon")  # a row a bin
     return counts.select(
-        F.lit(feature).alias("feature"), "monsoon", "bin", "left_edge", "n",
-        (F.col("n") / F.sum("n").over(group) / F.col("width")).alias("density"),
-    )
+        "feature", "monsoon", "bin", (lo + (hi - lo) / bins * F.col("bin")).alias("left_edge"), "n",
+        F.try_divide(F.col("n") / F.sum("n").over(group), (hi - lo) / bins).alias("density"))
 
 
 def counter_calibration(df: DataFrame) -> DataFrame:

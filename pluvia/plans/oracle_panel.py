@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pluvia.operators.features import LEAKAGE, NEVER_SCALED
+from pluvia.operators.features import LEAKAGE, NEVER_SCALED, SHOWN
 from pluvia.plans.sqlkit import define, q
 from pluvia.spec import COVARIATE_LAGS, COVARIATE_ROLLS, COVARIATES, TARGET_LAGS, TARGET_ROLLS
 
@@ -280,12 +280,14 @@ S["d20_sample_weights"] = q(KEY + "weight:f",
                             "SELECT series_id, date, CASE WHEN rainfall > 20 THEN 5 ELSE 1 END AS weight FROM dense", "dense")
 S["d21_histogram_by_season"] = q(
     "feature:s monsoon:i bin:i left_edge:f n:i density:f",
-    """SELECT 'rh' AS feature, monsoon, bin, count(*) AS n, max(lo + (hi-lo)/nb*bin) AS left_edge,
-         count(*) / sum(count(*)) OVER (PARTITION BY monsoon) / max((hi-lo)/nb) AS density
-       FROM (SELECT *, least(CAST(floor((greatest(lo, least(hi, rh)) - lo)/(hi-lo)*nb) AS INT), nb-1) AS bin
-             FROM (SELECT rh, is_monsoon = 1 AS monsoon, lo, hi, 50 AS nb FROM features CROSS JOIN (
-               SELECT quantile_cont(rh, 0.01) AS lo, quantile_cont(rh, 0.99) AS hi FROM features) WHERE rh IS NOT NULL))
-       GROUP BY monsoon, bin""", "features")
+    """SELECT feature, monsoon, bin, count(*) AS n, max(lo + (hi-lo)/nb*bin) AS left_edge,
+         count(*) / sum(count(*)) OVER (PARTITION BY feature, monsoon) / max((hi-lo)/nb) AS density
+       FROM (SELECT *, least(CAST(floor((greatest(lo, least(hi, x)) - lo)/(hi-lo)*nb) AS INT), nb-1) AS bin FROM ("""
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, monsoon_flag = 1 AS monsoon, lo, hi, nb FROM features CROSS JOIN (
+          SELECT quantile_cont(CAST({c} AS DOUBLE), 0.01) AS lo, quantile_cont(CAST({c} AS DOUBLE), 0.99) AS hi,
+            CAST(least(50, greatest(20, floor(count({c}) / 100))) AS INT) AS nb FROM features) WHERE {c} IS NOT NULL""" for c in SHOWN)
+    + ")) GROUP BY feature, monsoon, bin", "features")
 S["d22_counter_calibration"] = q(
     "bin_left:i p_rain:f n:i p_low:f p_high:f",
     """SELECT *, p_rain - 1.96*sqrt(p_rain*(1-p_rain)/n) AS p_low, p_rain + 1.96*sqrt(p_rain*(1-p_rain)/n) AS p_high

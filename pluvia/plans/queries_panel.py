@@ -319,8 +319,8 @@ def _(spark, folder):
 
 @query("d21_histogram_by_season")
 def _(spark, folder):
-    df = features(spark, folder).withColumn("is_monsoon", F.col("monsoon_flag"))
-    return ft.histogram_by_season(df, "rh")
+    shown = features(spark, folder).select(F.col("monsoon_flag").alias("is_monsoon"), *ft.SHOWN)
+    return ft.histograms_by_season(materialise(shown, "shown-features"))
 
 
 @query("d22_counter_calibration")
