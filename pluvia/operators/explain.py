@@ -109,16 +109,55 @@ def fit_linear(df: DataFrame, features: Sequence[str], target: str, tolerance: f
 
 def shapley_values(
     rows: DataFrame, background: DataFrame, model, features: Sequence[str], permutations: int = 8,
-    spec: SeriesSpec = DEFAULT,
+    spec: SeriesSpec = DEFAULT, max_error: float | None = None, max_permutations: int = 256,
 ) -> DataFrame:
-    """Permutation-sampled Shapley values of every row: (key, feature, value, phi, base, prediction).
-
-    Each row walks from a background row to itself, one feature at a time in a
-    hash-drawn order. The background row is drawn from all of them: a hash picks one of
-    many small buckets, and a row in it. Along the way all steps are scored by one distributed transform. A
-    step's prediction counts for the feature before it and against the one
-    after it, so no row needs its neighbour, and the steps of a row collapse to
-    p sums before the shuffle. The phis add up to prediction - base exactly.
+    """Permutation-sampled Shapley values of every row, with their error:
+    (key, feature, value, phi, error, base, prediction).
+
+    Permutations come in antithetic pairs: a row walks from a background row to itself, one
+    feature at a time in a hash-drawn order, and once more in the reverse order, so that a
+    feature met early in one walk is met late in the other. ``error`` is the standard error
+    of phi from the spread of the pairs (null for one pair). With ``max_error`` the number
+    of pairs doubles until the root mean square error of every feature is at most that, or
+    ``max_permutations`` are drawn; earlier pairs are kept as written sums. The phis add up
+    to prediction - base exactly.
+    """
+    pairs, drawn = -(-permutations // 2), 0
+    total = None
+    while True:
+        sums = _pair_sums(rows, background, model, features, drawn, pairs, spec)
+        if total is not None:
+            sums = sums.unionByName(total)
+        drawn += pairs
+        total = _summed(sums, spec)
+        result = _with_errors(total, features, spec)
+        if max_error is None:
+            return result
+        total = materialise(total, "shapley-sums")
+        result = _with_errors(total, features, spec)
+        worst = result.groupBy("feature").agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("e")).agg(F.max("e")).head()[0]
+        if (worst is not None and worst <= max_error) or 2 * drawn >= max_permutations:
+            return result
+        pairs = min(drawn, -(-max_permutations // 2) - drawn)
+
+
+SUMS = ("pairs", "delta", "square", "f0", "n0", "f1", "n1")
+
+
+def _summed(sums: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return sums.groupBy(*spec.key, "i").agg(F.first("value").alias("value"), *[F.sum(c).alias(c) for c in SUMS])
+
+
+def _pair_sums(
+    rows: DataFrame, background: DataFrame, model, features: Sequence[str], first: int, pairs: int, spec: SeriesSpec,
+) -> DataFrame:
+    """Per row and feature: number, sum and sum of squares of the pairs' differences.
+
+    The background row is drawn from all of them: a hash picks one of many small buckets,
+    and a row in it. All steps of the walks are scored by one distributed transform. A
+    step's prediction counts for the feature before it and against the one after it, so no
+    row needs its neighbour. Walks are dealt by row, so a row's steps meet without another
+    exchange.
     """
     p = len(features)
     predict = model_predictor(model)
@@ -127,16 +166,15 @@ def shapley_values(
         F.array_sort(F.collect_list(feature_array(features))).alias("_pool"))
     spare = pools.agg(F.min_by("_pool", "_bucket")).scalar()  # for the rare draw of an empty bucket
     base = rows.select(*spec.key, feature_array(features).alias("target_x"))
-    walks = base.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    walks = base.withColumn("m", F.explode(F.sequence(F.lit(first), F.lit(first + pairs - 1))))
     walks = walks.withColumn("_bucket", F.pmod(F.xxhash64(*spec.key, "m", F.lit("z")), F.lit(buckets)))
     walks = walks.join(pools, "_bucket", "left").withColumn("_pool", F.coalesce("_pool", spare))
     draw = F.pmod(F.xxhash64("m", *spec.key, F.lit("row")), F.size("_pool").cast("bigint")).cast("int")
-    order = F.array_sort(F.transform(
+    order = F.transform(F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(p - 1)),
-        lambda i: F.struct(F.xxhash64(*spec.key, F.col("m"), i).alias("h"), i.alias("i"))))
-    walks = walks.select(
-        *spec.key, "target_x", F.get("_pool", draw).alias("z"),
-        F.transform(order, lambda e: e["i"]).alias("order"))
+        lambda i: F.struct(F.xxhash64(*spec.key, F.col("m"), i).alias("h"), i.alias("i")))), lambda e: e["i"])
+    walks = walks.select(*spec.key, "m", "target_x", F.get("_pool", draw).alias("z"), order.alias("order")).repartition(*spec.key)
+    walks = walks.withColumn("order", F.explode(F.array("order", F.reverse("order"))))
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     mixed = F.transform("target_x", lambda v, i: F.when(
         F.array_position("order", i) <= F.col("step"), v).otherwise(F.get("z", i)))
@@ -146,14 +184,23 @@ def shapley_values(
         F.struct(F.get("order", step - 1).alias("i"), f.alias("d")),
         F.struct(F.get("order", step).alias("i"), (-f).alias("d"))), lambda e: e["i"].isNotNull())
     parts = scored.select(
-        *spec.key, "target_x", F.when(step == 0, f).alias("f0"), F.when(step == p, f).alias("f1"), F.inline(signed))
-    summed = parts.groupBy(*spec.key, "i").agg(
-        (F.sum("d") / permutations).alias("phi"), F.first("target_x").alias("target_x"),
+        *spec.key, "m", "target_x", F.when(step == 0, f).alias("f0"), F.when(step == p, f).alias("f1"), F.inline(signed))
+    each = parts.groupBy(*spec.key, "i", "m").agg(
+        (F.sum("d") / 2).alias("delta"), F.first("target_x").alias("target_x"),
         F.sum("f0").alias("f0"), F.count("f0").alias("n0"), F.sum("f1").alias("f1"), F.count("f1").alias("n1"))
-    whole = Window.partitionBy(*spec.key)  # p rows
-    names = F.array(*[F.lit(c) for c in features])
-    return summed.select(
-        *spec.key, F.get(names, F.col("i")).alias("feature"), F.get("target_x", F.col("i")).alias("value"), "phi",
+    return each.select(
+        *spec.key, "i", F.get("target_x", F.col("i")).alias("value"), F.lit(1).alias("pairs"), "delta",
+        (F.col("delta") * F.col("delta")).alias("square"), "f0", "n0", "f1", "n1")
+
+
+def _with_errors(total: DataFrame, features: Sequence[str], spec: SeriesSpec) -> DataFrame:
+    whole = Window.partitionBy(*spec.key)  # a row a feature
+    names, n = F.array(*[F.lit(c) for c in features]), F.col("pairs")
+    phi = F.col("delta") / n
+    spread = F.greatest(F.col("square") - n * phi * phi, F.lit(0.0))
+    return total.select(
+        *spec.key, F.get(names, F.col("i")).alias("feature"), "value", phi.alias("phi"),
+        F.when(n > 1, F.sqrt(spread / F.greatest(n - 1, F.lit(1)) / n)).alias("error"),
         (F.sum("f0").over(whole) / F.sum("n0").over(whole)).alias("base"),
         (F.sum("f1").over(whole) / F.sum("n1").over(whole)).alias("prediction"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
@@ -34,6 +35,7 @@ EXOGENOUS = (
     "cloud", "wind", "solar_rad", "cloud_lag1", "cloud_lag3", "cloud_lag7",
     "month_sin", "month_cos", "monsoon_flag")
 SEASONAL_LAG = 12
+PARALLEL_FITS = 4
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -117,17 +119,48 @@ def tune_two_stage(
         "model-input")
     wet = rows.where(F.col("rain_occurrence") == 1)
     scores, best = [], {}
+    points = _combinations(grid)
     for stage, build, data, score, sign in (
         ("classifier", _classifier, rows, f1_score, 1), ("regressor", _regressor, wet, log_rmse, -1)):
-        for point in _combinations(grid):
+        def fit(point: dict, build=build, data=data, score=score):
             model = build(**point).fit(data)
-            value = score(model.transform(data.where("is_val")))
+            return model, score(model.transform(data.where("is_val")))
+
+        fits = _staged_fits(points, fit)
+        for point, (model, value) in zip(points, fits, strict=True):
             scores.append((stage, *point.values(), model.getNumTrees, value))
             if stage not in best or sign * value > sign * best[stage][0]:
                 best[stage] = (value, model)
     return TwoStage(best["classifier"][1], best["regressor"][1], tuple(features)), scores
 
 
+def _staged_fits(points: list[dict], fit) -> list[tuple]:
+    """``fit`` of every point, where the largest number of trees stands for the smaller ones.
+
+    Boosting adds trees one by one from one seed, so a fit that stops early on val by
+    itself, at no more trees than a smaller number allows, is that smaller fit as well. Only
+    where it went on beyond is the smaller number fitted. Independent fits run side by side,
+    as one tree's jobs are too small to fill a cluster.
+    """
+    families: dict[tuple, list[int]] = {}
+    for i, p in enumerate(points):
+        families.setdefault((p["depth"], p["rate"], p["min_rows"]), []).append(i)
+    found: dict[int, tuple] = {}
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        largest = [max(own, key=lambda i: points[i]["trees"]) for own in families.values()]
+        found.update(zip(largest, pool.map(lambda i: fit(points[i]), largest)))
+        rest = []
+        for own, top in zip(families.values(), largest, strict=True):
+            used = found[top][0].getNumTrees
+            for i in own:
+                if i != top and used < points[i]["trees"]:
+                    found[i] = found[top]
+                elif i != top:
+                    rest.append(i)
+        found.update(zip(rest, pool.map(lambda i: fit(points[i]), rest)))
+    return [found[i] for i in range(len(points))]
+
+
 SCORE_SCHEMA = ("stage string, trees int, depth int, rate double, min_rows int, "
                 "trees_used int, score double")
 

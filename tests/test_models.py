@@ -75,6 +75,45 @@ def test_shapley_adds_up_and_matches_a_linear_model(rows):
     assert sum(r.fraction for r in summary) == pytest.approx(1.0)
 
 
+def test_grid_fits_the_largest_number_of_trees_once(rows, monkeypatch):
+    built = []
+    for name in ("_classifier", "_regressor"):
+        plain = getattr(mo, name)
+        monkeypatch.setattr(mo, name, lambda plain=plain, name=name, **p: built.append((name, *p.values())) or plain(**p))
+    grid = {"trees": (2, 90, 60), "depth": (2,), "rate": (0.5,), "min_rows": (3,)}
+    _, scores = mo.tune_two_stage(rows, FEATURES, grid)
+    by = {(s[0], s[1]): s for s in scores}
+    for stage in ("classifier", "regressor"):
+        used = by[(stage, 90)][5]
+        assert 2 < used < 60  # stopped early, so 60 trees are the same fit; 2 are not
+        assert by[(stage, 60)][5:] == by[(stage, 90)][5:] and by[(stage, 2)][5] <= 2
+        assert sorted(b[1] for b in built if b[0] == f"_{stage}") == [2, 90]
+    alone = mo.tune_two_stage(rows, FEATURES, {**grid, "trees": (60,)})[1]
+    assert [s[5:] for s in alone] == [by[("classifier", 60)][5:], by[("regressor", 60)][5:]]
+
+
+def test_shapley_error_is_stated_and_bounded(rows):
+    test = rows.where("split = 'test'").limit(20)
+    background = rows.where("split = 'train'")
+    model = GBTRegressor(labelCol="log_rainfall", featuresCol="x", maxIter=5, maxDepth=3).fit(
+        mo.assemble(background, FEATURES).select("x", "log_rainfall"))
+    few = ex.shapley_values(test, background, model, FEATURES, permutations=8).toPandas()
+    more = ex.shapley_values(test, background, model, FEATURES, permutations=8, max_error=0.05, max_permutations=512).toPandas()
+    rms = lambda t: np.sqrt((t["error"] ** 2).groupby(t["feature"]).mean()).max()
+    assert rms(more) <= 0.05 < rms(few)
+    for t in (few, more):
+        sums = t.groupby(["series_id", "date"]).agg(s=("phi", "sum"), b=("base", "first"), p=("prediction", "first"))
+        np.testing.assert_allclose(sums.s, sums.p - sums.b, atol=1e-9)
+    exact = ex.shapley_values(test, background, model, FEATURES, permutations=512).toPandas()
+    # with 32 pairs the stated error is one of a nearly normal mean; four pairs would say little of the tails
+    some = ex.shapley_values(test, background, model, FEATURES, permutations=64).toPandas()
+    both = some.merge(exact, on=["series_id", "date", "feature"])
+    apart = np.abs(both.phi_x - both.phi_y) / np.maximum(np.hypot(both.error_x, both.error_y), 1e-3)
+    assert (apart <= 3).mean() > 0.95 and (apart > 0.1).mean() > 0.5
+    one = ex.shapley_values(test, background, model, FEATURES, permutations=2)
+    assert one.where("error is not null").count() == 0
+
+
 def test_linear_fit_equals_least_squares(rows):
     train = rows.where("split = 'train'").withColumns({
         "copy": F.col("a") * 2 + 1, "flat": F.lit(3.0), "blend": F.col("a") - F.col("b"), "gap": F.when(F.col("c") < 2, F.col("c"))})
