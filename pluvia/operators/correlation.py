@@ -18,6 +18,8 @@ from pluvia.spec import DEFAULT, SeriesSpec
 
 # Severity limits of the variance inflation factor.
 SEVERE_VIF, MODERATE_VIF, CONSTANT_STD = 10.0, 5.0, 1e-8
+# Eigenvalues of a correlation matrix under this are rounding errors of zero.
+DEPENDENT = 1e-11
 
 
 def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -142,12 +144,12 @@ def variance_inflation(df: DataFrame, features: Sequence[str]) -> DataFrame:
                     a, b = p["a"], p["b"]
                     if a != b and a in at and b in at:
                         m[at[a], at[b]] = m[at[b], at[a]] = p["r"]
-                try:
-                    vif = np.diag(np.linalg.inv(m))
-                except np.linalg.LinAlgError:
-                    vif = np.full(len(kept), np.inf)
-                # A singular matrix shows up as a value below its lower bound of 1.
-                vif = np.where(vif < 1 - 1e-6, np.inf, vif)
+                # Columns of a linear dependence are those of the null space; the others keep
+                # their finite value whatever the dependent ones do.
+                roots, axes = np.linalg.eigh(m) if kept else (np.zeros(0), np.zeros((0, 0)))
+                null = roots < DEPENDENT * max(1, len(kept))
+                vif = (axes[:, ~null] ** 2 / roots[~null]).sum(1)
+                vif[(axes[:, null] ** 2).sum(1) > 1e-6] = np.inf
                 yield pd.DataFrame({"feature": kept, "vif": vif})
 
     out = moments.mapInPandas(invert, "feature string, vif double")

@@ -18,6 +18,8 @@ from pluvia.spec import DEFAULT, SeriesSpec
 CORR_LIMIT, MIN_GAIN_FRAC, TOP_ATTRIBUTION = 0.92, 0.001, 30
 PROTECTED = {"rainfall", "log_rainfall", "rain_occurrence", "rainfall_wet_only", "is_monsoon", "monsoon_flag"}
 SEED = 42
+# Correlations that agree to so many digits are equal: names decide, not rounding errors.
+DIGITS = 9
 
 
 def candidates(columns: Sequence[str]) -> list[str]:
@@ -46,12 +48,12 @@ def correlation_filter(
     with_target = {a: v for (a, b), v in r.items() if b == target}
     close = sorted(
         ((v, a, b) for (a, b), v in r.items() if b != target and v > limit),
-        key=lambda e: (-e[0], e[1], e[2]))
+        key=lambda e: (-round(e[0], DIGITS), e[1], e[2]))
     dropped: set[str] = set()
     for _, a, b in close:
         if dropped & {a, b} or {a, b} & set(protected):
             continue
-        dropped.add(b if with_target.get(a, 0.0) >= with_target.get(b, 0.0) else a)
+        dropped.add(b if round(with_target.get(a, 0.0), DIGITS) >= round(with_target.get(b, 0.0), DIGITS) else a)
     return sorted(dropped)
 
 

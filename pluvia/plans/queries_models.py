@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia.functions.exprs import melt
 from pluvia.operators import correlation as co
 from pluvia.operators import explain as ex
 from pluvia.operators import features as ft
@@ -71,10 +72,37 @@ def j1(spark, folder):
         F.count("*").alias("n_rows"), F.sum("log_rainfall").alias("sum_target"))
 
 
+def candidate_rows(spark, folder):
+    """Complete train rows of all candidates, written once, and the candidates."""
+    df = features(spark, folder)
+    names = se.candidates(ft.feature_names(df))
+    return mo.fitted_rows(se.analysis_rows(df, names), "candidate-rows"), names
+
+
+def as_table(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
 def j2(spark, folder):
-    rows = se.analysis_rows(features(spark, folder), SCORED)
-    dropped = se.correlation_filter(rows, SCORED, limit=CORR_LIMIT)
-    return rows.sparkSession.createDataFrame([(d,) for d in dropped], "feature string")
+    rows, names = candidate_rows(spark, folder)
+    return as_table(spark, se.correlation_filter(rows, names))
+
+
+def selected_linear(spark, folder):
+    """The linear set of all candidates by their own VIF, greedy filter and gain."""
+    rows, names = candidate_rows(spark, folder)
+    dropped = as_table(spark, se.correlation_filter(rows, names))
+    return se.linear_set(as_table(spark, names), co.variance_inflation(rows, names), dropped,
+                         se.gain_importance(rows, names, **SMALL))
+
+
+def d15_linear(spark, folder):
+    """The scaled linear set by split: rows, mean and deviation of every column."""
+    chosen = {r["feature"] for r in selected_linear(spark, folder).collect()}  # names of columns
+    df = mo.fitted_rows(features(spark, folder), "features")
+    names = [c for c in ft.feature_names(df) if c in chosen]
+    return melt(ft.model_inputs(df, names), ["split"], names, "feature", "x").groupBy("split", "feature").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
 
 
 def j5(spark, folder):
@@ -255,6 +283,8 @@ Q = {
     "j3_gain_importance": _plain(j3),
     "j4_attribution_ranking": _plain(j4),
     "j5_linear_set": _plain(j5),
+    "j5_selected_linear": _plain(selected_linear),
+    "d15_linear_inputs": _plain(d15_linear, 5),
     "j6_ml_set": _plain(j6),
     "k3_two_stage": _plain(k3),
     "k4_grid_search": _plain(k4),

@@ -6,7 +6,7 @@ import re
 
 # Shared derivations, each with the ones it builds on.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
-HELD = {"features", "wettrain", "wettest", "params", "phis"}
+HELD = {"features", "wettrain", "wettest", "params", "phis", "closeness", "close_pairs"}
 
 
 def define(name: str, sql: str, *needs: str) -> None:

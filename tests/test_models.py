@@ -211,14 +211,33 @@ def test_bootstrap_members(rows):
     assert ensemble.where(F.col("members")[0] != F.col("members")[1]).count() > 0
 
 
-def test_correlation_filter_drops_one_of_each_close_pair(spark):
+def test_selection_of_all_candidates(spark):
     folder = "/root/testdata/sf0.001"
+    rows, names = qm.candidate_rows(spark, folder)
     dropped = {r.feature for r in qm.Q["j2_correlation_filter"](spark, folder).collect()}
-    assert dropped < set(qm.SCORED) and not dropped & set(se.PROTECTED)
-    rows = se.analysis_rows(qm.features(spark, folder), qm.SCORED)
-    left = [c for c in qm.SCORED if c not in dropped]
+    assert len(names) > 50 and dropped < set(names) and not dropped & se.PROTECTED
+    left = [c for c in names if c not in dropped and c not in se.PROTECTED]
     pairs = co.correlation_pairs(rows, left).where("r is not null").collect()
-    assert max(abs(p.r) for p in pairs) <= qm.CORR_LIMIT
+    assert max(abs(p.r) for p in pairs) <= se.CORR_LIMIT
+    linear = {r.feature for r in qm.Q["j5_selected_linear"](spark, folder).collect()}
+    vif = {r.feature: r.vif for r in co.variance_inflation(rows, names).collect()}
+    gain = {r.feature: r.gain_frac for r in se.gain_importance(rows, names, **qm.SMALL).collect()}
+    for c in set(names) - se.PROTECTED:
+        assert (c in linear) == (c not in dropped and vif.get(c, 0) <= 10 and gain[c] >= se.MIN_GAIN_FRAC), c
+    inputs = qm.Q["d15_linear_inputs"](spark, folder).toPandas()
+    assert set(inputs["feature"]) == linear and set(inputs["split"]) == {"train", "val", "test"}
+    scaled = inputs[(inputs["split"] == "train") & inputs["feature"].isin(qm.ft.scalable(sorted(linear)))]
+    np.testing.assert_allclose(scaled["mean"], 0, atol=1e-5)
+
+
+def test_vif_of_dependent_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 3))
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "sum": x[:, 0] + x[:, 1], "c": x[:, 2], "d": x[:, 2] + 0.5 * rng.normal(size=500), "flat": 1.0})
+    got = {r.feature: r.vif for r in co.variance_inflation(spark.createDataFrame(pdf), list(pdf.columns)).collect()}
+    plain = np.diag(np.linalg.inv(np.corrcoef(pdf[["a", "b", "c", "d"]].to_numpy().T)))
+    assert [got[k] for k in ("a", "b", "sum")] == [np.inf] * 3 and "flat" not in got
+    assert got["c"] == pytest.approx(plain[2], abs=0.02) and got["d"] == pytest.approx(plain[3], abs=0.02)
 
 
 def test_order_selection_scores_every_order(spark):
