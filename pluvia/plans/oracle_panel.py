@@ -97,6 +97,7 @@ S["c1_calendar_columns"] = q(
     "SELECT * FROM densecal", "densecal")
 S["c2_chronological_split"] = q("series_id:i date:d split:s", "SELECT * FROM splitdense", "splitdense")
 S["c3_densify"] = q("series_id:i date:d rainfall:f", "SELECT * FROM dense", "dense")
+S["c3_densify_events"] = q("series_id:s date:d rainfall:f", "SELECT * FROM denseevents", "denseevents")
 define("warm", """
   SELECT * EXCLUDE (l30) FROM (SELECT *, lag(rainfall, 30) OVER (PARTITION BY series_id ORDER BY date) AS l30
   FROM splitdense) WHERE l30 IS NOT NULL""", "splitdense")

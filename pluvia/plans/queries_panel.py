@@ -161,6 +161,12 @@ def _(spark, folder):
     return pn.dense_panel(spark, folder)
 
 
+@query("c3_densify_events")
+def _(spark, folder):
+    """Series with text keys, each over its own days."""
+    return cal.densify(pn.event_panel(spark, folder))
+
+
 @query("c4_reapply_split")
 def _(spark, folder):
     df = dense_split(spark, folder)

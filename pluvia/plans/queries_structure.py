@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pluvia.operators import correlation as co
 from pluvia.operators import structure as st
+from pluvia.operators.calendar import densify
 from pluvia.plans.settle import settle
 from pluvia.sources import panel as pn
 from pluvia.spec import COVARIATES, DEFAULT
@@ -42,6 +43,12 @@ def _one_lag(df):
         st.adf_test(logged, "log_target", "log_daily", n_lags=1)).drop("p_value", "crit_1", "crit_10")
 
 
+def _events(spark, folder):
+    """The same test on series with text keys."""
+    events = densify(pn.event_panel(spark, folder))
+    return settle(st.adf_test(events, "rainfall", "raw_daily", n_lags=1).drop("p_value", "crit_1", "crit_10"))
+
+
 def _trend(df):
     return st.kpss_test(st.log_target(df), "log_target", "log_daily_trend", "ct", n_lags=7)
 
@@ -75,6 +82,7 @@ Q = {
     "h6_component_strength": _dense(lambda df: st.component_strength(st.decompose(df))),
     "h7_adf_without_lags": _dense(lambda df: st.adf_without_lags(df, "rainfall")),
     "h7_adf_one_lag": _dense(_one_lag),
+    "h7_adf_events": _events,
     "h7_adf_tests": _dense(st.adf_tests),
     "h8_kpss_level": _dense(lambda df: st.kpss_level(df, "rainfall")),
     "h8_kpss_trend": _dense(_trend),

@@ -51,6 +51,12 @@ define("dense", """
   SELECT i.series_id, c.date, COALESCE(s.rainfall, CAST(0 AS DOUBLE)) AS rainfall
   FROM (SELECT DISTINCT l_suppkey AS series_id FROM lineitem) i CROSS JOIN cal c
   LEFT JOIN sparse s ON s.series_id = i.series_id AND s.date = c.date""", "sparse", "cal")
+define("eventdays", """
+  SELECT event_type AS series_id, CAST(ts AS DATE) AS date, sum(value) AS rainfall FROM events GROUP BY 1, 2""")
+define("denseevents", """
+  SELECT c.series_id, c.date, coalesce(e.rainfall, CAST(0 AS DOUBLE)) AS rainfall FROM (
+    SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM eventdays GROUP BY 1) c
+  LEFT JOIN eventdays e ON e.series_id = c.series_id AND e.date = c.date""", "eventdays")
 define("cov", """
   SELECT CAST(l_shipdate AS DATE) AS date,
     MAX(l_quantity) AS tmax, MIN(l_quantity) AS tmin, AVG(l_quantity) AS tavg,
