@@ -18,7 +18,8 @@ HEADLINE = [
     "c3_densify", "d1_lag_features", "d2_rolling_features", "d10_dry_spell_length", "d13_feature_table",
     "d17_feature_statistics", "e2_distribution_stats", "f1_monthly_climatology", "f6_dry_spells",
     "g1_correlation_matrix", "h2_autocorrelation", "h5_decomposition", "l4_comparison_table",
-    "o3_central_intervals", "o5_calibration_curve",
+    "o3_central_intervals", "o5_calibration_curve", "h7_adf_tests", "h8_kpss_tests", "g5_binned_trend", "d21_histogram_by_season",
+    "o11_conformal_intervals", "n7_linear_dependence",
 ]
 
 

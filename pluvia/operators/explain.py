@@ -451,6 +451,16 @@ def partial_dependence(
         F.max("grid_value").alias("grid_value"), F.avg("prediction").alias("pdp"))
 
 
+def linear_dependence(
+    rows: DataFrame, fit: LinearFit, swept: Sequence[str], points: int = GRID_POINTS,
+) -> DataFrame:
+    """``partial_dependence`` of a linear model: its mean prediction is that of the mean row,
+    so one row is swept instead of all."""
+    mean = rows.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in fit.features])
+    grid = _swept(mean, fit.features, swept, grid_limits(rows, swept), points)
+    return fit.predictor()(grid).select("feature", "grid_idx", "grid_value", F.col("prediction").alias("pdp"))
+
+
 def individual_curves(
     rows: DataFrame, features: Sequence[str], swept: Sequence[str], predict: Predictor,
     n_rows: int | None = ICE_ROWS, points: int = GRID_POINTS, spec: SeriesSpec = DEFAULT, cuts: Cuts | None = None,

@@ -246,7 +246,7 @@ def n6(spark, folder):
 
 def n7_linear(spark, folder):
     fit, rows = linear_case(spark, folder)
-    return ex.partial_dependence(rows, fit.features, EXPLAINED, fit.predictor())
+    return ex.linear_dependence(rows, fit, EXPLAINED)
 
 
 def n7(spark, folder):

@@ -127,6 +127,10 @@ def test_linear_fit_equals_least_squares(rows):
     assert fit.base == pytest.approx(pdf["log_rainfall"].mean())
     scored = fit.predictor()(train.dropna().withColumn("x", ex.feature_array(names)))
     phi = ex.linear_attributions(scored, names, fit.parameters()).groupBy("series_id", "date").agg(F.sum("phi").alias("s"))
+    own, all_rows = (t.toPandas().sort_values(["feature", "grid_idx"])["pdp"].to_numpy() for t in (
+        ex.linear_dependence(train.dropna(), fit, ["a", "gap"], 5),
+        ex.partial_dependence(train.dropna(), names, ["a", "gap"], fit.predictor(), 5)))
+    np.testing.assert_allclose(own, all_rows)
     gaps = scored.join(phi, ["series_id", "date"]).select(F.max(F.abs(F.col("prediction") - F.col("s") - fit.base)))
     assert gaps.head()[0] < 1e-9
 
