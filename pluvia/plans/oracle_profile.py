@@ -152,16 +152,26 @@ S["f4_annual_anomalies"] = q(
     """SELECT series_id, year, total, total - m AS anomaly, abs(total - m) > s AS unusual FROM (
          SELECT *, avg(total) OVER (PARTITION BY series_id) AS m, stddev_samp(total) OVER (PARTITION BY series_id) AS s
          FROM yearly)""", "yearly")
-S["f4_annual_trend"] = q(
-    "series_id:i n_years:i slope:f intercept:f r2:f driest_year:i wettest_year:i",
-    """SELECT series_id, count(*) AS n_years, regr_slope(total, year) AS slope, regr_intercept(total, year) AS intercept,
+define("trend", """SELECT series_id, count(*) AS n_years, regr_slope(total, year) AS slope, regr_intercept(total, year) AS intercept,
          regr_r2(total, year) AS r2, max(year) FILTER (lo = 1) AS driest_year, max(year) FILTER (hi = 1) AS wettest_year
        FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY total, year) AS lo,
                row_number() OVER (PARTITION BY series_id ORDER BY total DESC, year) AS hi FROM yearly)
-       GROUP BY 1""", "yearly", digits=4)
-S["f5_mann_kendall"] = q(
-    "series_id:i n:i s:i var_s:f z:f verdict:s",
-    """SELECT *, CASE WHEN abs(z) <= 1.959963984540054 THEN 'no trend' WHEN z > 0 THEN 'increasing'
+       GROUP BY 1""", "yearly")
+S["f4_annual_trend"] = q("series_id:i n_years:i slope:f intercept:f r2:f driest_year:i wettest_year:i", "SELECT * FROM trend", "trend", digits=4)
+# Student's two-sided p for whole degrees of freedom: a finite sum in the angle atan(t / sqrt(dof))
+_ODD = "c*list_sum([exp(k*2*ln(c) + k*2*ln(2) + 2*lgamma(k + 1) - lgamma(2*k + 2)) FOR k IN range(0, (dof - 1)//2)])"
+_EVEN = "list_sum([exp(k*2*ln(c) + lgamma(2*k + 1) - k*2*ln(2) - 2*lgamma(k + 1)) FOR k IN range(0, dof//2)])"
+S["f4_trend_significance"] = q(
+    "series_id:i n_years:i slope:f intercept:f r2:f driest_year:i wettest_year:i t_stat:f p_value:f significant:i",
+    f"""SELECT *, p_value < 0.05 AS significant FROM (
+          SELECT *, 1 - CASE WHEN dof % 2 = 0 THEN sin(a)*{_EVEN} WHEN dof = 1 THEN 2/pi()*a
+                             ELSE 2/pi()*(a + sin(a)*{_ODD}) END AS p_value FROM (
+            SELECT *, atan(abs(t_stat)/sqrt(dof)) AS a, cos(atan(abs(t_stat)/sqrt(dof))) AS c FROM (
+              SELECT *, n_years - 2 AS dof, sign(slope)*sqrt(least(r2, 1 - 1e-15)*(n_years - 2)/(1 - least(r2, 1 - 1e-15))) AS t_stat
+              FROM trend)))""", "trend", digits=4)
+
+define("mann_kendall", """
+    SELECT *, CASE WHEN abs(z) <= 1.959963984540054 THEN 'no trend' WHEN z > 0 THEN 'increasing'
          ELSE 'decreasing' END AS verdict FROM (
        SELECT *, CASE WHEN var_s <= 0 THEN 0 ELSE (s - sign(s))/sqrt(var_s) END AS z FROM (
          SELECT p.series_id, p.n, p.s, (p.n*(p.n-1)*(2*p.n+5) - t.ties)/CAST(18 AS DOUBLE) AS var_s FROM (
@@ -171,6 +181,13 @@ S["f5_mann_kendall"] = q(
          JOIN (SELECT series_id, sum(k*(k-1)*(2*k+5)) AS ties FROM (
                  SELECT series_id, total, count(*) AS k FROM yearly GROUP BY 1, 2) GROUP BY 1) t
            ON t.series_id = p.series_id))""", "yearly")
+S["f5_mann_kendall"] = q("series_id:i n:i s:i var_s:f z:f verdict:s", "SELECT * FROM mann_kendall", "mann_kendall")
+# 1 - erf(x) with x = |z| / sqrt(2), by the series of positive terms
+_TERMS = "[exp(k*ln(2) + (2*k + 1)*ln(x) - (lgamma(2*k + 2) - k*ln(2) - lgamma(k + 1))) FOR k IN range(200)]"
+S["f5_mann_kendall_significance"] = q(
+    "series_id:i n:i s:i var_s:f z:f verdict:s p_value:f",
+    f"""SELECT *, CASE WHEN x < 1e-12 THEN 1 ELSE 1 - 2/sqrt(pi())*exp(-x*x)*list_sum({_TERMS}) END AS p_value
+        FROM (SELECT *, abs(z)/sqrt(2) AS x FROM mann_kendall)""", "mann_kendall")
 define("runs", """
   SELECT series_id, min(date) AS start_date, max(date) AS end_date, count(*) AS n_days FROM (
     SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date)

@@ -35,7 +35,7 @@ _ON_DENSE = {
     "f3_yearly_season_share": (se.yearly_season_share, 6),
     "f4_annual_anomalies": (se.annual_anomalies, 6),
     "f4_annual_trend": (se.annual_trend, 4),
-    "f4_trend_significance": (se.trend_significance, 6),
+    "f4_trend_significance": (se.trend_significance, 4),
     "f5_mann_kendall": (se.mann_kendall, 6),
     "f5_mann_kendall_significance": (se.mann_kendall_significance, 6),
     "f6_dry_spells": (se.dry_spells, 6),
