@@ -69,7 +69,8 @@ Q = {
     "g3_vif": _full(lambda df: co.variance_inflation(df, COVARIATES)),
     "g4_pair_regressions": _full(co.collinear_groups, 5),
     "g5_binned_trend": _full(lambda df: co.seasonal_trend(df, "rh"), 5),
-    "g6_recommendations": _full(lambda df: co.recommendations(_pairs(df), None, "rainfall", WATCHED)),
+    "g6_recommendations": _full(lambda df: co.recommendations(
+        _pairs(df), co.variance_inflation(df, COVARIATES), "rainfall", WATCHED)),
     "h1_lag_correlation": _dense(_both_lags),
     "h1_significant_lags": _dense(lambda df: st.significant_lags(st.lag_correlation(df, "rainfall"))),
     "h2_autocorrelation": _dense(lambda df: st.autocorrelation(df, "rainfall")),
