@@ -7,8 +7,9 @@ encoded one by one. Natural text repeats its words: a bounded table of encoded p
 saves most of the work and changes no result.
 
 Cutting, hashing, looking up and joining are array operations over a megabyte of
-text at a time; only parts that are not in the table become Python strings. Parts are told
-apart by 64-bit hashes that include their lengths.
+text at a time; only parts that are not in the table become Python strings. Parts are looked
+up by 64-bit hashes and compared byte by byte with what the table has there; one that differs
+is encoded by itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pluvia.llm.words import byte_sums, mixed
 
 BATCH = 1 << 20
 ENTRIES = 300_000
+HELD = 1 << 26  # bytes of parts in the table
 LONGEST = 48
 
 
@@ -74,6 +76,9 @@ class Memory:
         self.sizes = np.zeros(0, np.int64)
         self.used = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.text_starts = np.zeros(0, np.int64)
+        self.text_sizes = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
         self.clock = 0
 
     def encoded(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
@@ -113,17 +118,33 @@ class Memory:
         unique, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         entry = self._entries(blob, unique, starts[first], ends[first])[place]
 
-        sizes = self.sizes[entry]
+        begin, sizes, pool = self.starts[entry], self.sizes[entry], self.pool
+        other = np.flatnonzero(~self._equal(buf, starts, ends, entry))
+        if len(other):
+            found = self._new([blob[lo:hi] for lo, hi in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            sizes[other] = [len(f) for f in found]
+            begin[other] = len(pool) + np.cumsum(sizes[other]) - sizes[other]
+            pool = np.concatenate([pool, *found])
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(self.starts[entry] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids = pool[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])]
         cut = upto[np.searchsorted(starts, bounds)].tolist()
         for lo, hi in zip(cut, cut[1:], strict=False):
             yield ids[lo:hi]
 
+    def _new(self, parts: list[bytes]) -> list[np.ndarray]:
+        return [np.asarray(f, np.uint32) for f in self.encode([p.decode("utf-8", "surrogatepass") for p in parts])]
+
+    def _equal(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether the parts, which follow one another without a gap, are those of their entries."""
+        sizes = ends - starts
+        there = np.repeat(self.text_starts[entry] - starts, sizes) + np.arange(len(buf))
+        same = self.text[np.minimum(there, len(self.text) - 1)] == buf
+        return np.logical_and.reduceat(same, starts) & (self.text_sizes[entry] == sizes)
+
     def _entries(self, blob: bytes, unique: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's entries of sorted hashes; new ones are encoded and put in."""
         self.clock += 1
-        if len(self.hashes) > self.entries:
+        if len(self.hashes) > self.entries or len(self.text) > HELD:
             self._drop_old()
         at = np.searchsorted(self.hashes, unique)
         known = np.zeros(len(unique), bool)
@@ -131,15 +152,18 @@ class Memory:
         known[inside] = self.hashes[at[inside]] == unique[inside]
         new = np.flatnonzero(~known)
         if len(new):
-            parts = [blob[lo:hi].decode("utf-8", "surrogatepass")
-                     for lo, hi in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            found = list(self.encode(parts))
+            parts = [blob[lo:hi] for lo, hi in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = self._new(parts)
             sizes = np.array([len(f) for f in found], np.int64)
             begin = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, *found]).astype(np.uint32, copy=False)
+            self.pool = np.concatenate([self.pool, *found])
+            lengths = ends[new] - starts[new]
+            text_begin = len(self.text) + np.cumsum(lengths) - lengths
+            self.text = np.concatenate([self.text, np.frombuffer(b"".join(parts), np.uint8)])
             # long parts are seldom met again: they are the first to be dropped
-            used = np.where(ends[new] - starts[new] > LONGEST, -1, self.clock)
-            for name, more in (("starts", begin), ("sizes", sizes), ("used", used), ("hashes", unique[new])):
+            used = np.where(lengths > LONGEST, -1, self.clock)
+            for name, more in (("starts", begin), ("sizes", sizes), ("text_starts", text_begin), ("text_sizes", lengths),
+                               ("used", used), ("hashes", unique[new])):
                 setattr(self, name, np.insert(getattr(self, name), at[new], more))
             at = np.searchsorted(self.hashes, unique)
         self.used[at] = np.where(self.used[at] < 0, -1, self.clock)
@@ -147,9 +171,15 @@ class Memory:
 
     def _drop_old(self) -> None:
         """Keep the half of the entries that were met last."""
-        half = self.entries // 2
-        keep = np.sort(np.argpartition(-self.used, half)[:half])
-        sizes = self.sizes[keep]
-        upto = np.cumsum(sizes) - sizes
-        self.pool = self.pool[np.repeat(self.starts[keep] - upto, sizes) + np.arange(sizes.sum())]
-        self.hashes, self.starts, self.sizes, self.used = self.hashes[keep], upto, sizes, self.used[keep]
+        half = min(self.entries, len(self.hashes)) // 2
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:half])
+        self.pool, self.starts = _gathered(self.pool, self.starts[keep], self.sizes[keep])
+        self.text, self.text_starts = _gathered(self.text, self.text_starts[keep], self.text_sizes[keep])
+        for name in ("hashes", "sizes", "text_sizes", "used"):
+            setattr(self, name, getattr(self, name)[keep])
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of the pool one after another, and where each begins."""
+    upto = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - upto, sizes) + np.arange(sizes.sum())], upto

@@ -1,8 +1,10 @@
 """Word hashes of many texts at once, and hashes of runs of words.
 
 Words are what lies between the ASCII white space characters (space, 9 to 13). A word's
-hash is a polynomial of its bytes modulo 2^64, taken from running sums over up to a
-megabyte of text at a time, so that memory does not grow with the length of a text.
+hash is the sum of a 64-bit number for each (place, byte), mixed with its length, taken from
+running sums over up to a megabyte of text at a time, so that memory does not grow with the
+length of a text. A polynomial of the bytes modulo 2^64 would not do: words in Thue-Morse
+order and their mirrors agree in it.
 """
 
 from __future__ import annotations
@@ -30,22 +32,15 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BYTE = odd_numbers(1, 256)
-_BASE = 0xD6E8FEB86659FD93
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_NEAR = 64  # places in a word whose numbers are kept
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    global _powers, _inverses
-    while len(_powers) < n:
-        k = len(_powers)
-        step = np.uint64(pow(_BASE, k, 1 << 64))
-        back = np.uint64(pow(_BASE, -k, 1 << 64))
-        _powers = np.concatenate([_powers, _powers * step])
-        _inverses = np.concatenate([_inverses, _inverses * back])
-    return _powers, _inverses
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each (place, byte), given as ``place * 256 + byte``."""
+    return mixed(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93))
+
+
+_TABLE = _numbers(np.arange(_NEAR * 256))
 
 
 def _hash_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +54,17 @@ def _hash_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_sums(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial of the bytes of each range, whatever its place."""
-    powers, inverses = _tables(len(buf))
+    """Sum of the numbers of each range's bytes, which depend on their places in the range."""
+    place = np.arange(len(buf))
+    if len(starts):
+        place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(buf))))
+    keys = (place << 8) | buf
+    numbers = _TABLE[np.minimum(keys, len(_TABLE) - 1)]
+    far = np.flatnonzero(keys >= len(_TABLE))
+    numbers[far] = _numbers(keys[far])
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * inverses[starts]
+    np.cumsum(numbers, out=sums[1:])
+    return sums[ends] - sums[starts]
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
