@@ -7,9 +7,9 @@ Within a source a document of value v is due ``c * v`` copies, at most ``most``;
 the due words meet the target. The whole part of that is certain. The fraction p is an
 inclusion probability: documents are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with u
 uniform from a hash of the document, and taken in that order until the words left over
-from the whole copies are filled, the last one if that comes nearer. So every source
-meets its target to within half a document, and the same input and seed give the same
-sample.
+from the whole copies are filled, the last one if that comes nearer. Repeated rows share
+one draw and one rank, and the sample may end between them. So every source meets its
+target to within half a document, and the same input and seed give the same sample.
 
 Values are small positive integers, so a source's documents fall into few (value)
 classes whose sums are exact longs; c is found from those sums. Ranking never sorts a
@@ -19,7 +19,7 @@ a third of all rows costs 256 sums, like any other.
 
 Nulls and other cases: null text has 0 words and is taken 0 times; a null source is a
 source of its own, the last; null ids are hashed with the text; repeated rows share one
-draw and one rank and are taken or left together; a source without words has target 0; an empty table gives no rows. Other columns are kept out.
+draw, and where the sample ends among them as many are taken as bring it nearest; a source without words has target 0; an empty table gives no rows. Other columns are kept out.
 """
 
 from __future__ import annotations
@@ -103,8 +103,11 @@ def _range(level: int) -> Column:
 
 
 def _described(docs: DataFrame, seed: int, value: Column | None) -> DataFrame:
-    """``docs`` with the columns _mix_source, _mix_drawn, _mix_size and _mix_value."""
-    sized = docs.withColumns({"_mix_source": F.col("source").cast("string"), "_mix_drawn": _drawn(seed),
+    """``docs`` with the columns _mix_row, _mix_source, _mix_drawn, _mix_size and _mix_value.
+
+    ``_mix_row`` tells repeated rows apart: it holds from when the rows are written.
+    """
+    sized = docs.withColumns({"_mix_row": F.monotonically_increasing_id(), "_mix_source": F.col("source").cast("string"), "_mix_drawn": _drawn(seed),
                               "_mix_size": word_count(F.col("text"))})
     return sized.withColumn("_mix_value", (value if value is not None else length_class(F.col("_mix_size"))).cast("long"))
 
@@ -124,29 +127,35 @@ def _placed(described: DataFrame, due: DataFrame) -> DataFrame:
         .drop("_due_source", "_due_value", "_due_whole", "_due_part"))
 
 
+def _key() -> Column:
+    """The place of a document in its source's order; repeated rows share it."""
+    return F.struct(F.col("_mix_odds").alias("odds"), F.col("_mix_drawn").alias("drawn"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def _taken(placed: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds _mix_copies: the certain copies, and one more up to the source's cut."""
-    own = cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "place", "last")))
-    key = F.struct(F.col("_mix_odds").alias("odds"), F.col("_mix_drawn").alias("drawn"), F.col("doc_id").cast("long").alias("doc_id"))
+    own = cuts.select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "place", "last", "row")))
+    upto = (_key() < F.col("_cut_last")) | ((_key() == F.col("_cut_last")) & (
+        F.col("_cut_row").isNull() | (F.col("_mix_row") <= F.col("_cut_row"))))
     more = (F.col("_mix_place") < F.col("_cut_place")) | (
-        (F.col("_mix_place") == F.col("_cut_place")) & F.col("_cut_last").isNotNull() & (key <= F.col("_cut_last")))
+        (F.col("_mix_place") == F.col("_cut_place")) & F.col("_cut_last").isNotNull() & upto)
     return placed.join(own, F.col("_mix_source").eqNullSafe(F.col("_cut_source")), "left").withColumn(
         "_mix_copies", (F.col("_mix_whole") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")).drop(
-        "_cut_source", "_cut_place", "_cut_last")
+        "_cut_source", "_cut_place", "_cut_last", "_cut_row")
 
 
 def plan(rows: DataFrame, weights: list[int], share: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(targets, due, cuts) of described rows: written tables with a few rows a source.
 
     ``cuts`` has the place in the order where a source's sample ends and, in that place,
-    the last document taken.
+    the last document taken; where not all its repeats are, the last row taken of them.
     """
     classes = materialise(rows.groupBy(F.col("_mix_source").alias("source"), F.col("_mix_value").alias("value")).agg(
         F.sum("_mix_size").alias("words"), F.count(F.lit(1)).alias("docs")), "mix-classes")
     targets = materialise(source_targets(
         classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "mix-targets")
     due = materialise(copies_due(classes, targets, most), "mix-due")
-    placed = materialise(_placed(rows.select("doc_id", "_mix_source", "_mix_drawn", "_mix_size", "_mix_value"), due), "mix-placed")
+    placed = materialise(_placed(rows.select("doc_id", "_mix_row", "_mix_source", "_mix_drawn", "_mix_size", "_mix_value"), due), "mix-placed")
     left = materialise(
         placed.groupBy("_mix_source").agg(F.sum(F.col("_mix_whole") * F.col("_mix_size")).alias("certain"))
         .join(targets, F.col("_mix_source").eqNullSafe(F.col("source")))
@@ -167,16 +176,30 @@ def plan(rows: DataFrame, weights: list[int], share: float, most: int) -> tuple[
             "source", (F.col("room") - F.col("hit.before")).alias("room"),
             (F.col("prefix") * FAN + F.col("hit.part_of")).cast("int").alias("prefix")), "mix-end")
 
-    # one 16.7 millionth of a source: the only rows that are put in order one by one
-    last = opened.join(end, F.col("_mix_source").eqNullSafe(F.col("source")) & (F.col("_mix_place") == F.col("prefix"))).select(
-        "source", "room", F.col("_mix_size").alias("size"),
-        F.struct(F.col("_mix_odds").alias("odds"), F.col("_mix_drawn").alias("drawn"), F.col("doc_id").cast("long").alias("doc_id")).alias("key"))
-    equal = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    near = last.withColumn("upto", F.sum("size").over(equal)).where(F.col("upto") - F.col("size") / 2 <= F.col("room"))
-    ends = near.groupBy(F.col("source").alias("end_source")).agg(F.max("key").alias("last"))
+    # one 16.7 millionth of a source, repeats counted first: the only rows that are put in order one by one
+    inside = opened.join(end, F.col("_mix_source").eqNullSafe(F.col("source")) & (F.col("_mix_place") == F.col("prefix"))).select(
+        "source", "room", "_mix_row", F.col("_mix_size").alias("size"), _key().alias("key"))
+    last = inside.groupBy("source", "room", "key").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("room") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0))
+    near = last.withColumn("fits", F.floor(room / F.col("size") + 0.5)).where("fits >= 1")
+    ends = materialise(near.groupBy(F.col("source").alias("end_source")).agg(
+        F.max(F.struct("key", F.least("fits", "n").alias("some"), "n")).alias("e")).select("end_source", "e.*"), "mix-ends")
+    # the row up to which repeats are taken: first the part of the written rows that it lies in, then its place there
+    parted = inside.withColumnRenamed("key", "own_key").join(
+        ends.where("some < n"), F.col("source").eqNullSafe(F.col("end_source")) & (F.col("own_key") == F.col("key"))).select(
+        "source", "some", "_mix_row", F.shiftright("_mix_row", 33).alias("part_of"))
+    counts = parted.groupBy("source", "some", "part_of").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("part_of")) - F.col("n")
+    inner = counts.withColumn("before", before).where((F.col("before") < F.col("some")) & (F.col("some") <= F.col("before") + F.col("n")))
+    inner = inner.select(F.col("source").alias("hit_source"), F.col("part_of").alias("hit_part"), (F.col("some") - F.col("before")).alias("nth"))
+    within = parted.join(inner, F.col("source").eqNullSafe(F.col("hit_source")) & (F.col("part_of") == F.col("hit_part")))
+    rows_cut = within.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("_mix_row"))).where("i = nth").select(
+        F.col("source").alias("row_source"), F.col("_mix_row").alias("row"))
     cuts = materialise(
-        end.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").select("source", F.col("prefix").alias("place"), "last"),
-        "mix-cuts")
+        end.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left")
+        .join(rows_cut, F.col("source").eqNullSafe(F.col("row_source")), "left")
+        .select("source", F.col("prefix").alias("place"), F.col("key").alias("last"), "row"), "mix-cuts")
     return targets, due, cuts
 
 
@@ -199,7 +222,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2,
 def mixed(docs: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, seed: int = 17,
           value: Column | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
-    rows = materialise(_described(docs.select("doc_id", "source", "text"), seed, value).drop("text", "source"), "mix-rows")
+    rows = materialise(_described(docs, seed, value), "mix-rows")
     _, due, cuts = plan(rows, weights, share, most)
-    taken = _taken(_placed(_described(docs, seed, value), due), cuts)
+    taken = _taken(_placed(rows, due), cuts)
     return taken.withColumn("_mix_copy", F.explode(F.expr("array_repeat(1, cast(_mix_copies as int))"))).select(*docs.columns)
