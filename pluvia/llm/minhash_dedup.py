@@ -286,12 +286,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, pair_limit:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: that of its least id.
+    """The rows of ``docs`` of which one stays for each component: that of the least id, null last.
 
-    Repeated rows of that id are one row after it; a document without shingles stays, and
-    so does every row without id.
+    Rows are told apart by a number of their own, so differing texts under one id, and rows
+    without id, are documents like any other; repeated rows are copies of which one stays.
+    A row without shingles stays, each time it occurs.
     """
-    found = near_duplicates(docs, k, percent)
-    keep = materialise(found.where("doc_id is not null and kept").select("doc_id").distinct(), "kept-ids")
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    rows = materialise(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-rows")
+    found = near_duplicates(rows.select(F.col("_dedup_row").alias("doc_id"), "text"), k, percent)
+    placed = rows.select("_dedup_row", F.col("doc_id").alias("_dedup_id")).join(
+        found.select(F.col("doc_id").alias("_dedup_row"), "component_id"), "_dedup_row")
+    first = F.min(F.struct(F.col("_dedup_id").isNull().alias("last"), "_dedup_id", "_dedup_row"))["_dedup_row"]
+    keep = materialise(placed.groupBy("component_id").agg(first.alias("_dedup_row")).select("_dedup_row"), "kept-rows")
+    return rows.join(keep, "_dedup_row", "left_semi").select(*docs.columns)
