@@ -13,13 +13,14 @@ import pandas as pd
 import public_tokenizers as public
 import pytest
 import tiktoken
+import tokenizers
 from compare import difference, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from pluvia.llm import (
-    collinear_dedup, components, extendible_sharding, id_store, minhash_dedup, oracle, order_sampling, prefix_bpe, queries,
+    chunks, collinear_dedup, components, extendible_sharding, id_store, minhash_dedup, oracle, order_sampling, prefix_bpe, queries,
     robust_quality, segment_topk, toxicity, url_reputation, words,
 )
 
@@ -283,6 +284,21 @@ def test_mix_meets_targets(awkward, none, docs):
     assert copies.set_index("doc_id")["count"].sort_index().equals(want.sort_index().rename("count"))
 
 
+def test_mix_ends_between_repeated_rows(spark):
+    rows = [(1, " ".join(["ten"] * 10), "s", i) for i in range(40)] + [(2, "one two three", "s", 40)]
+    rows += [(3, "five words are in it", None, i) for i in range(9)] + [(i, "some more words", "t", i) for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    for share in (0.3, 0.7, 1.5):
+        got = order_sampling.mix(df, [5, 2, 1], share=share).toPandas()
+        by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+        assert ((by["taken"] - by["target"]).abs() <= by["most"] / 2 + 1e-6).all()
+        assert (got["taken"] <= 2 * got["size"]).all()
+        again = order_sampling.mix(df.repartition(3), [5, 2, 1], share=share).toPandas()
+        assert difference(got, again) == ""
+        mixed = order_sampling.mixed(df, [5, 2, 1], share=share)
+        assert mixed.columns == df.columns and mixed.count() == got["copies"].sum()
+
+
 def test_pareto_sampling_keeps_inclusion_odds(spark):
     """Over many seeds documents are taken about as often as they are due."""
     df = spark.createDataFrame([(i, " ".join("w" * (1 + i % 2 * 9)), "s") for i in range(60)], "doc_id long, text string, source string")
@@ -420,6 +436,49 @@ def test_bpe_random_texts_and_edits(library):
         assert done <= 3 + len(s) - hi
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_agree_in_polynomial_hashes(spark, library):
+    """Words in Thue-Morse order and their mirrors have equal polynomials modulo 2^64."""
+    own = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    for n in (1024, 2048, 8192):
+        texts = [thue_morse(n), thue_morse(n, "ba"), thue_morse(n), f"so {thue_morse(n, 'ba')} it is"]
+        for t, ids in zip(texts, prefix_bpe.encode_texts(texts, queries.RANKS, public.PATTERN), strict=True):
+            assert ids.tolist() == library.encode_ordinary(t)
+        for t, ids in zip(texts, id_store.encode_texts(texts, queries.VOCABULARY), strict=True):
+            assert ids.tolist() == own.encode(t, add_special_tokens=False).ids
+        a, b, c, d = words.word_hashes([t.encode() for t in texts])
+        assert a[0] == c[0] != b[0] == d[1]
+    df = spark.createDataFrame([(1, thue_morse(4096)), (2, thue_morse(4096, "ba"))], "doc_id long, text string")
+    assert [r["component_id"] for r in minhash_dedup.near_duplicates(df).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_parts_with_equal_hashes_are_compared(monkeypatch, library):
+    """With hashes of three bits nearly all parts clash; the table stays small enough to be emptied."""
+    monkeypatch.setattr(chunks, "mixed", lambda x: x & np.uint64(7))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "bc", "the", "word, is", "ünd\n"]) * rng.randrange(1, 4) for _ in range(30)) for _ in range(60)]
+    memory = chunks.Memory(lambda parts: (np.array(library.encode_ordinary(p), np.uint32) for p in parts), entries=4)
+    for _ in range(3):
+        for t, ids in zip(texts, memory.encoded(texts), strict=True):
+            assert ids.tolist() == library.encode_ordinary(t)
+
+
+def test_texts_of_more_than_a_megabyte(library):
+    rng = random.Random(11)
+    some = ["some", "words", "that", "repeat,", "and\n", "x" * 40, "été", "1234"]
+    text = " ".join(rng.choice(some) + str(rng.randrange(50)) for _ in range(230_000))
+    assert len(text) > 2 << 20
+    own = tokenizers.Tokenizer.from_file(queries.VOCABULARY)
+    assert next(prefix_bpe.encode_texts([text], queries.RANKS, public.PATTERN)).tolist() == library.encode_ordinary(text)
+    assert next(id_store.encode_texts([text], queries.VOCABULARY)).tolist() == own.encode(text, add_special_tokens=False).ids
+    whole = next(words.word_hashes([text.encode()]))
+    parts = [h for w in words.word_hashes([w.encode() for w in text.split()]) for h in w]
+    assert whole.tolist() == parts
+
+
 def test_id_store(spark, docs, plain, awkward, none, library):
     for df, texts in ((docs, plain), (awkward, rows_of(awkward.select("doc_id", "text")))):
         got = id_store.write(df, queries.VOCABULARY, 2).read(df).toPandas().sort_values("start").reset_index(drop=True)
@@ -501,7 +560,17 @@ def test_near_duplicates_on_awkward_rows(awkward, none):
     assert minhash_dedup.near_duplicates(none).count() == 0
     left = minhash_dedup.deduplicated(awkward)
     assert left.columns == awkward.columns
-    assert sorted(left.toPandas()["doc_id"].fillna(-1)) == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9]
+    # one of the rows without id is a copy of document 1
+    assert sorted(left.toPandas()["doc_id"].fillna(-1)) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
+
+
+def test_deduplicated_tells_texts_under_one_id_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(80)) for _ in range(3))
+    rows = [(2, a), (1, a), (2, b), (2, b), (None, c), (None, c), (5, c + " more"), (7, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in minhash_dedup.deduplicated(df).collect()}
+    assert got == {(1, a), (2, b), (5, c + " more"), (7, ""), (7, None)}
 
 
 def test_components(spark):
