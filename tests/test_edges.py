@@ -262,6 +262,13 @@ def test_unit_roots_on_an_empty_panel(spark):
     assert st.adf_test(empty, "rainfall", "raw").count() == st.kpss_test(empty, "rainfall", "raw").count() == 0
 
 
+def test_regression_on_a_constant_column_has_no_line(spark):
+    df = spark.createDataFrame([(5.0, float(i), 2.0 * i) for i in range(6)], "a double, b double, c double")
+    rows = {(r.x, r.y): r for r in co.pair_regressions(df, [("a", "b"), ("b", "c")]).collect()}
+    assert rows["a", "b"].slope is None and rows["a", "b"].intercept is None and rows["a", "b"].r is None
+    assert rows["b", "c"].slope == pytest.approx(2.0) and rows["b", "c"].intercept == pytest.approx(0.0)
+
+
 def test_no_series_is_a_pandas_group(spark):
     df = keyed_panel(spark, {"a": [1.0, 2.0, 4.0] * 20})
     for plan in (st.adf_test(df, "rainfall", "raw"), st.kpss_test(df, "rainfall", "raw")):
