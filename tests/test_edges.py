@@ -285,6 +285,13 @@ def test_regression_on_a_constant_column_has_no_line(spark):
     assert rows["b", "c"].slope == pytest.approx(2.0) and rows["b", "c"].intercept == pytest.approx(0.0)
 
 
+def test_panel_tasks_grow_with_the_stretched_rows(spark):
+    from pyspark.sql import Row
+    assert pn.panel_tasks(spark, Row(days=2500, series=60_000)) == 500
+    assert pn.panel_tasks(spark, Row(days=2500, series=360_000)) == 3000
+    assert 1 <= pn.panel_tasks(spark, Row(days=None, series=0)) <= 8
+
+
 def test_no_series_is_a_pandas_group(spark):
     df = keyed_panel(spark, {"a": [1.0, 2.0, 4.0] * 20})
     for plan in (st.adf_test(df, "rainfall", "raw"), st.kpss_test(df, "rainfall", "raw")):
