@@ -285,6 +285,19 @@ def test_regression_on_a_constant_column_has_no_line(spark):
     assert rows["b", "c"].slope == pytest.approx(2.0) and rows["b", "c"].intercept == pytest.approx(0.0)
 
 
+def test_features_of_days_equal_the_feature_table(spark):
+    folder = "/root/testdata/sf0.001"
+    want = ft.drop_warmup(ft.feature_table(pn.split_panel(spark, folder)))
+    panel = cal.split_by_position(pn.dense_panel(spark, folder))
+    got = ft.feature_table_of_days(panel, cal.add_calendar(pn.daily_covariates(spark, folder)))
+    assert got.dtypes == want.dtypes
+    a, b = (df.orderBy("series_id", "date").toPandas() for df in (got, want))
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
+    # the windows pass over the target alone, the covariates' lags are of one row a day
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("Repartition") == 1
+
+
 def test_panel_tasks_grow_with_the_stretched_rows(spark):
     from pyspark.sql import Row
     assert pn.panel_tasks(spark, Row(days=2500, series=60_000)) == 500
