@@ -114,6 +114,25 @@ def test_shapley_error_is_stated_and_bounded(rows):
     assert one.where("error is not null").count() == 0
 
 
+def test_boosted_walks_are_scored_in_their_rows(rows, monkeypatch):
+    test = rows.where("split = 'test'").limit(30)
+    background = rows.where("split = 'train'")
+    model = GBTRegressor(labelCol="log_rainfall", featuresCol="x", maxIter=6, maxDepth=3, stepSize=0.2).fit(
+        mo.assemble(background, FEATURES).select("x", "log_rainfall"))
+    x = background.select(*FEATURES).toPandas().to_numpy(float).T
+    scored = model.transform(mo.assemble(background, FEATURES)).select("prediction").toPandas()["prediction"]
+    np.testing.assert_allclose(ex.tree_sum(ex.boosted_trees(model), x), scored, rtol=1e-12)
+    order = ["series_id", "date", "feature"]
+    phi = ex.shapley_values(test, background, model, FEATURES, permutations=6)
+    assert "SortAggregate" not in phi._jdf.queryExecution().toString()  # of rows a step, with arrays
+    got = phi.toPandas().sort_values(order)
+    monkeypatch.setattr(ex, "boosted_trees", lambda model: None)
+    want = ex.shapley_values(test, background, model, FEATURES, permutations=6).toPandas().sort_values(order)
+    assert (got[order].values == want[order].values).all()
+    for c in ("value", "phi", "error", "base", "prediction"):
+        np.testing.assert_allclose(got[c], want[c], atol=1e-9)
+
+
 def test_linear_fit_equals_least_squares(rows):
     train = rows.where("split = 'train'").withColumns({
         "copy": F.col("a") * 2 + 1, "flat": F.lit(3.0), "blend": F.col("a") - F.col("b"), "gap": F.when(F.col("c") < 2, F.col("c"))})
