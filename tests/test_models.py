@@ -133,6 +133,24 @@ def test_boosted_walks_are_scored_in_their_rows(rows, monkeypatch):
         np.testing.assert_allclose(got[c], want[c], atol=1e-9)
 
 
+def test_scaled_inputs_read_written_features(spark, monkeypatch):
+    written = []
+    plain = qm.mo.fitted_rows
+    monkeypatch.setattr(qm.mo, "fitted_rows", lambda df, name: written.append(name) or plain(df, name))
+    rows = qm.inputs(spark, "/root/testdata/sf0.001")
+    assert written == ["narrow-features", "inputs"]
+    means = rows.where("split = 'train'").agg(F.avg("rh"), F.stddev_pop("rh")).head()
+    assert means[0] == pytest.approx(0, abs=1e-9) and means[1] == pytest.approx(1)
+
+
+def test_scaling_looks_up_parameters_once(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 7)], "rh double, cloud double, is_weekend int")
+    parameters = spark.createDataFrame([("rh", 0.5, 2.0), ("other", 0.0, 1.0)], "feature string, mean double, std double")
+    out = qm.ft.standardise(df, parameters, ["rh", "cloud", "is_weekend"])
+    assert "[rh]" not in out._jdf.queryExecution().analyzed().toString().split("\n")[1]  # no map a row
+    assert [tuple(r) for r in out.collect()] == [(0.25, None, 7)]
+
+
 def test_linear_fit_equals_least_squares(rows):
     train = rows.where("split = 'train'").withColumns({
         "copy": F.col("a") * 2 + 1, "flat": F.lit(3.0), "blend": F.col("a") - F.col("b"), "gap": F.when(F.col("c") < 2, F.col("c"))})
