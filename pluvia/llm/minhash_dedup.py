@@ -151,9 +151,8 @@ def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the documents whose id is a node; a row for each different set."""
-    found = texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
+    return texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
         _sets(k), "node long, shingles array<bigint>")
-    return materialise(found, "sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +168,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     near = agreeing(pairs, classes, percent)
     nodes = materialise(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-    return similar(near, shingle_sets(docs, nodes, k), percent)
+    return similar(near, materialise(shingle_sets(docs, nodes, k), "sets"), percent)
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -228,11 +227,14 @@ def remaining_links(open_nodes: DataFrame, classes: DataFrame, docs: DataFrame,
 
     prefixes = materialise(first.groupBy("node", "sid").agg(F.collect_set("shingle").alias("pre")), "prefixes")
     dealt = first.join(sizes, "shingle")
-    small = materialise(dealt.where(F.col("size") <= pair_limit).drop("size", "words").join(prefixes, ["node", "sid"]), "small-groups")
+    # a pair counts under its least common shingle, so a row needs the lesser ones of its prefix only
+    small = materialise(
+        dealt.where(F.col("size") <= pair_limit).drop("size", "words").join(prefixes, ["node", "sid"])
+        .withColumn("pre", F.expr("filter(pre, x -> x < shingle)")), "small-groups")
     left = small.select("shingle", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("pre").alias("pre_a"), F.col("n").alias("n_a"))
     right = small.select("shingle", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("pre").alias("pre_b"), F.col("n").alias("n_b"))
     fits = ("a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {0} * greatest(n_a, n_b) "
-            "and shingle = array_min(array_intersect(pre_a, pre_b))").format(percent)
+            "and not arrays_overlap(pre_a, pre_b)").format(percent)
     paired = materialise(left.join(right, "shingle").where(fits).select("a", "b").distinct(), "small-pairs")
     links = similar(agreeing(paired, classes, percent), own, percent)
 

@@ -145,6 +145,35 @@ def test_passages_whose_parts_come_first_elsewhere(spark):
     assert got.groupby("doc_id")["n_words"].max().to_dict() == {9: 85, 60: 60, 70: 60}
 
 
+def steps_of(monkeypatch, module):
+    """The tables that ``module`` writes from here on, in order: (name, table)."""
+    steps, write = [], module.materialise
+
+    def noted(df, name):
+        steps.append((name, write(df, name)))
+        return steps[-1][1]
+
+    monkeypatch.setattr(module, "materialise", noted)
+    return steps
+
+
+def test_rounds_read_the_open_seeds_only(spark, monkeypatch):
+    rng = random.Random(17)
+    lines = [text_of(rng, 15) for _ in range(4)]
+    rows = [(20 + i, f"{text_of(rng, 40)} {x} {text_of(rng, 40)}") for i, x in enumerate(lines * 3)]
+    rows += [(i, " ".join([text_of(rng, 40), *lines, text_of(rng, 40)])) for i in (50, 60)]
+    rows += [(i, text_of(random.Random(5), 90)) for i in (1, 2)]  # a passage found at once leaves no open seed
+    steps = steps_of(monkeypatch, collinear_dedup)
+    got = collinear_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {(60, 50), (2, 1)} == set(zip(got["doc_id"], got["src_doc_id"], strict=True))
+    written = dict(reversed(steps))
+    assert 0 < written["open-seed-hits"].count() < written["seed-hits"].count()
+    assert not {1, 2} & {r["doc_id"] for r in written["open-seed-hits"].collect()}
+    for name, table in steps:
+        if name == "wanted-spans":  # a text is joined once, not once for each of its spans
+            assert table.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
 def has_passage(equal, n=50, share=0.8):
     """Whether n words and more from an equal word to an equal word are equal enough, by trying all."""
     upto = np.concatenate([[0], np.cumsum(equal)])
@@ -551,6 +580,20 @@ def test_near_duplicates(spark, plain, pair_limit):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
+def test_near_duplicates_write_open_sets_once(spark, monkeypatch):
+    rng = random.Random(23)
+    shared = [text_of(rng, 72) for _ in range(6)]  # long passages: a bucket in common, but not near enough
+    texts = {i: f"{x} {text_of(rng, 10)}" for i, x in enumerate(shared * 8)}
+    texts |= {100 + i: texts[i] + " end" for i in range(0, 48, 5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    steps = steps_of(monkeypatch, minhash_dedup)
+    got = minhash_dedup.near_duplicates(df, k=4).toPandas().set_index("doc_id")
+    assert got["component_id"].to_dict() == brute_components(texts, 4, 80)[0]
+    small = dict(steps)["small-groups"].toPandas()
+    assert len(small) and all(max(pre, default=shingle - 1) < shingle for pre, shingle in zip(small["pre"], small["shingle"], strict=True))
+    assert [name for name, _ in steps].count("sets") == 1
+
+
 def test_near_duplicates_on_awkward_rows(awkward, none):
     got = minhash_dedup.near_duplicates(awkward).toPandas()
     comp = got.dropna(subset=["doc_id"]).set_index("doc_id")["component_id"]
