@@ -174,6 +174,46 @@ def test_rounds_read_the_open_seeds_only(spark, monkeypatch):
             assert table.groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_seeds_cross_once_and_packed(spark, monkeypatch):
+    rng = random.Random(23)
+    line = text_of(rng, 9)
+    rows = [(i % 17, " ".join([text_of(rng, rng.randrange(30)), *[line] * rng.randrange(4), text_of(rng, 5)])) for i in range(40)]
+    rows += [(None, line), (3, None), (4, ""), (-(1 << 62), line), (1 << 62, line), (5, "a b c d a b c d a b c d"), (6, "x a b c d a b c d")]
+    want, first = [], collections.defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            h, p = collinear_dedup.minimizers(next(iter(words.word_hashes([(t or "").lower().encode()]))), 4, 1)
+            want += [(s, i, q, n) for s, q, n in zip(h.astype(np.int64).tolist(), p.tolist(), collinear_dedup.running_numbers(h).tolist(), strict=True)]
+    docs_of = collections.defaultdict(set)
+    for s, i, _, _ in want:
+        docs_of[s].add(i)
+    for s, i, q, n in sorted(want):
+        if i == min(docs_of[s]):
+            first[s, n].append(q)
+    most = {s: max(n for x, n in first if x == s) for s, _ in first}
+    want = sorted((s, min(docs_of[s]), i, q, n, min(first[s, min(n, most[s])])) for s, i, q, n in want if len(docs_of[s]) > 1)
+    plans, write = [], collinear_dedup.materialise
+    monkeypatch.setattr(collinear_dedup, "materialise", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (collinear_dedup.PART_BYTES, 100):
+        monkeypatch.setattr(collinear_dedup, "PART_BYTES", size)
+        got = collinear_dedup.seed_hits(df, 4, 1).select("seed", "src", "doc_id", "place", "turn", "src_place")
+        assert sorted(tuple(r) for r in got.collect()) == want
+        plan = plans.pop()
+        assert not plans and "Join" not in plan and plan.count("Exchange") == 2  # repartition(3) and one of packed rows
+
+
+def test_words_of_spans_are_deleted_once_aligned(spark, monkeypatch):
+    rows = [(i, text_of(random.Random(5), 90)) for i in (1, 2)]
+    paths, noted = {}, collinear_dedup.materialise
+    monkeypatch.setattr(collinear_dedup, "materialise", lambda df, name: paths.setdefault(name, noted(df, name)))
+    passages = collinear_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert passages.count() == 1
+    for name in ("chains", "spans"):
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            paths[name].collect()
+
+
 def has_passage(equal, n=50, share=0.8):
     """Whether n words and more from an equal word to an equal word are equal enough, by trying all."""
     upto = np.concatenate([[0], np.cumsum(equal)])
