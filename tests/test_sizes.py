@@ -1,5 +1,6 @@
 """Sizes of the registered models."""
 
+from pluvia.operators import models as mo
 from pluvia.operators import selection as se
 from pluvia.plans import queries_models as qm
 
@@ -16,3 +17,11 @@ def test_linear_set_fits_the_whole_gain_model(spark, monkeypatch):
     monkeypatch.setattr(se, "gain_importance", lambda rows, names, trees=plain[0], depth=plain[1], rate=plain[2]: sizes.append((trees, depth, rate)) or table)
     assert [r.feature for r in qm.selected_linear(spark, "").collect()] == ["a"]
     assert sizes == [plain] == [(300, 4, 0.05)]
+
+
+def test_grid_search_tries_the_whole_grid(spark, monkeypatch):
+    grids = []
+    monkeypatch.setattr(qm, "inputs", lambda *_: None)
+    monkeypatch.setattr(mo, "tune_two_stage", lambda rows, names, grid=mo.GRID: grids.append(grid) or (None, [("classifier", 400, 4, 0.05, 3, 1, 0.5)]))
+    assert qm.k4(spark, "").count() == 1
+    assert grids == [mo.GRID] and mo.GRID["trees"] == (400, 600)
