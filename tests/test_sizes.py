@@ -60,7 +60,7 @@ def test_passages_delete_their_scratch_tables(spark, monkeypatch):
     texts = [(1, " ".join(half)), (2, " ".join([f"y{i}" for i in range(60)] + words[22:44])), (3, " ".join(words)), (4, " ".join(words))]
     found = cd.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r.doc_id for r in found.collect()} == {4}
-    assert {"seed-hits", "open-hits", "spans", "chains", "wanted-spans"} <= set(made)
-    for name in ("seed-hits", "open-hits", "open-seed-hits", "seed-ranks", "open-pairs", "spans", "chains", "wanted-spans"):
+    assert {"open-hits", "spans", "chains"} <= set(made)
+    for name in ("open-hits", "seed-ranks", "open-pairs", "spans", "chains"):
         for table in made.get(name, ()):
             assert not any(Path(f.removeprefix("file:")).exists() for f in table.inputFiles()), name
